@@ -117,12 +117,15 @@ def findings(
 
 
 def count_matches(
-    df: DataFrame, keep: list[str], text: str = "text", categories=None
+    df: DataFrame,
+    keep: list[str],
+    text: str = "text",
+    categories=None,
+    drop_empty: bool = True,
 ) -> DataFrame:
     """The kept columns plus ``counts``: struct of valid matches per category.
 
-    At most one output row per input row and no shuffle; rows without any
-    match are dropped.
+    No shuffle.  Rows without any match are dropped unless asked otherwise.
     """
     rules = select_rules(categories)
 
@@ -134,9 +137,10 @@ def count_matches(
         return f"cast(size({values}) as bigint) as {rule.category}"
 
     counts = f"struct({', '.join(map(size, rules))})"
-    any_match = " + ".join(f"counts.{r.category}" for r in rules)
-    return (
-        _gated(df, keep, text, rules)
-        .selectExpr(*keep, f"explode_outer(array({counts})) as counts")
-        .where(f"{any_match} > 0")
+    counted = _gated(df, keep, text, rules).selectExpr(
+        *keep, f"explode_outer(array({counts})) as counts"
     )
+    if not drop_empty:
+        return counted
+    any_match = " + ".join(f"counts.{r.category}" for r in rules)
+    return counted.where(f"{any_match} > 0")
