@@ -93,7 +93,7 @@ def _rules() -> tuple[Rule, ...]:
             f"(?iu:паспорт|серия)?[{SPACE}:]*+"
             f"{DIGIT}{{2}}{DASH}{DIGIT}{{2}}[{SPACE}\\-№]+{DIGIT}{{6}}{RIGHT}",
             "number",
-            f"{DIGIT}{{6}}",
+            f"{DIGIT}{{2}}{DASH}{DIGIT}{{2}}[{SPACE}\\-№]+{DIGIT}{{6}}",
         ),
         (
             "snils",

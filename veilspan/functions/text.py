@@ -59,17 +59,16 @@ def html_text(html: str) -> str:
     either end joins nothing and leaves none.
     """
     inner = (
-        f"substr(t, case when startswith({html}, '<') and startswith(t, '\\n') then 2 else 1 end)"
+        f"case when startswith(t, '\\n') and not startswith({html}, '\\n') "
+        "then substr(t, 2) else t end"
     )
     trimmed = let(
         "u",
         inner,
-        f"case when endswith({html}, '>') and endswith(u, '\\n') "
+        f"case when endswith(u, '\\n') and not endswith({html}, '\\n') "
         "then left(u, char_length(u) - 1) else u end",
     )
-    stripped = let(
-        "t", f"regexp_replace({html}, {quoted(_MARKUP)}, '\\n')", trimmed
-    )
+    stripped = let("t", f"regexp_replace({html}, {quoted(_MARKUP)}, '\\n')", trimmed)
     return let("h", stripped, decode_entities("h"))
 
 

@@ -154,9 +154,11 @@ def _html() -> str:
         text = f"replace({text}, '{name}', {char})"
     return (
         f"(select page_id, html, {text} as text from (select page_id, html, "
-        "case when html like '%>' and t like '%' || chr(10) then left(t, length(t) - 1) "
+        "case when t like '%' || chr(10) and not html like '%' || chr(10) "
+        "then left(t, length(t) - 1) "
         "else t end as text from (select page_id, html, "
-        "case when html like '<%' and t like chr(10) || '%' then substr(t, 2) else t end as t "
+        "case when t like chr(10) || '%' and not html like chr(10) || '%' "
+        "then substr(t, 2) else t end as t "
         f"from (select page_id, html, regexp_replace(html, '{_MARKUP}', chr(10), 'g') as t "
         "from pages))))"
     )

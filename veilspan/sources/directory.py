@@ -11,11 +11,19 @@ from veilspan.sources.listing import file_columns, with_metadata
 from veilspan.sources.tables import any_case, csv_rows, json_records, parquet_rows_or_none
 
 
-def whole_files(spark: SparkSession, root: str) -> DataFrame:
-    """Text and HTML files, one row each: path, size, mtime, name, format, text."""
+# Fixed by the file source; a stream has to be told.
+_BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def whole_files(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
+    """Text and HTML files, one row each: path, size, mtime, name, format, text.
+
+    With ``streaming`` the same rows come from a file stream.
+    """
     def read(*suffixes: str) -> DataFrame:
+        reader = spark.readStream.schema(_BINARY_SCHEMA) if streaming else spark.read
         return (
-            spark.read.format("binaryFile")
+            reader.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", any_case(*suffixes))
             .load(root)

@@ -56,15 +56,11 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A saved report with typed columns; an empty cell stays an empty string."""
-    return (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("escape", '"')
-        .option("nullValue", "\u0000")
-        .option("emptyValue", "")
-        .csv(path)
+    """A saved report with typed columns; an empty cell is an empty string."""
+    report = (
+        spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
     )
+    return report.na.fill("")
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

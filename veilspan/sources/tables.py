@@ -77,10 +77,22 @@ def json_records(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     parse gives no row.
     """
     files = _reader(spark, glob).format("binaryFile").load(path)
-    parsed = files.selectExpr(
-        *file_columns(), f"{decode_text('content')} as body"
-    ).selectExpr("path", "size", "mtime", "body", "try_parse_json(body) as doc")
-    lines = "transform(split(body, '\\n'), l -> try_parse_json(l))"
+    bodies = files.selectExpr(
+        *file_columns(), f"btrim({decode_text('content')}, ' \\t\\n') as body"
+    )
+    # The parser stops after the first value, so a first line that is complete
+    # with more lines after it marks a line-delimited file.
+    by_line = (
+        "contains(body, '\n') and try_parse_json(substring_index(body, '\n', 1)) is not null"
+    )
+    parsed = bodies.selectExpr(
+        "path",
+        "size",
+        "mtime",
+        "body",
+        f"case when {by_line} then null else try_parse_json(body) end as doc",
+    )
+    lines = "transform(split(body, '\n'), l -> try_parse_json(l))"
     items = (
         f"case when doc is null then filter({lines}, d -> d is not null) "
         "else coalesce(try_variant_get(doc, '$', 'array<variant>'), array(doc)) end"
@@ -122,8 +134,8 @@ def json_records(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 
 def _cell(value: str) -> str:
-    """A JSON value as cell text: scalars as written, the rest as JSON."""
-    return f"coalesce(try_variant_get({value}, '$', 'string'), to_json({value}), '')"
+    """A JSON value as cell text: scalars as written, null empty, the rest as JSON."""
+    return f"if(is_variant_null({value}), '', coalesce(try_variant_get({value}, '$', 'string'), to_json({value}), ''))"
 
 
 def json_table(
