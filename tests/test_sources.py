@@ -9,7 +9,9 @@ from test_detect import EMPLOYEE
 
 from veilspan.functions.text import decode_entities, decode_text, html_text, row_text
 from veilspan.operators.levels import LEVEL_4
+from veilspan.operators.profile import profile_rows
 from veilspan.plans.scan import scan_directory, scan_findings, scan_status, write_reports
+from veilspan.sources.directory import table_rows, whole_files
 from veilspan.sources.listing import family, list_files, suffix, suffix_group
 from veilspan.sources.reports import read_detailed, read_summary
 from veilspan.sources.tables import csv_rows, csv_table, json_records, json_table
@@ -129,6 +131,30 @@ def test_directory_without_tables(spark, tmp_path):
     assert [r.name for r in scan_directory(spark, str(tmp_path)).collect()] == ["one.txt"]
 
 
+def test_parquet_files_with_clashing_types(spark, tmp_path):
+    for i, (sub, value) in enumerate([("a", "x@site.org"), ("a", 5), ("b", "y@site.org"), ("b", "z")]):
+        (tmp_path / sub).mkdir(exist_ok=True)
+        table = spark.createDataFrame([(value,)], "v string" if isinstance(value, str) else "v bigint")
+        table.toPandas().to_parquet(tmp_path / sub / f"{i}.parquet")
+    (tmp_path / "b" / "bad.parquet").write_bytes(b"not parquet at all")
+    rows = table_rows(spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.text) for r in rows) == [
+        ("0.parquet", "x@site.org"), ("1.parquet", "5"), ("2.parquet", "y@site.org"),
+        ("3.parquet", "z"),
+    ]
+
+
+def test_overlong_files_are_read_by_line(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes("a@site.org\r\nИНН 5001007329\n".encode("cp1251") * 50)
+    (tmp_path / "big.json").write_text('{"m":\n"b@site.org"}\n')
+    (tmp_path / "small.txt").write_text("c@x.org")
+    whole = whole_files(spark, str(tmp_path), longest=10)
+    assert [r.name for r in whole.collect()] == ["small.txt"]
+    rows = table_rows(spark, str(tmp_path), longest=10)
+    got = {r.name: r.pii_counts for r in profile_rows(rows).collect()}
+    assert got == {"big.txt": {"email": 50, "inn": 50}, "big.json": {"email": 1}}
+
+
 def test_reports_on_disk(spark, folder, tmp_path):
     profile = scan_directory(spark, folder)
     write_reports(profile, str(tmp_path / "s"), str(tmp_path / "d"))

@@ -1,4 +1,9 @@
-"""A directory of mixed files as corpus rows."""
+"""A directory of mixed files as corpus rows.
+
+Text and HTML files are one row each, because a match may run over line ends.
+Tables are one row per record.  Files too long to be held as one value are read
+line by line instead, which Spark can split over many tasks.
+"""
 
 from __future__ import annotations
 
@@ -7,42 +12,61 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.functions.text import decode_text, decode_utf8_lossy, html_text
-from veilspan.sources.listing import file_columns, with_metadata
-from veilspan.sources.tables import any_case, csv_rows, json_records, parquet_rows_or_none
+from veilspan.sources.listing import family, file_columns, with_metadata
+from veilspan.sources.tables import (
+    any_case,
+    csv_rows,
+    json_records,
+    line_rows,
+    parquet_rows_any_schema,
+)
 
+_WHOLE = (".txt", ".md", ".html", ".htm")
+_JSON = (".json",)
+# Longest file taken as a single value; a binary column ends at 2 GiB.
+WHOLE_FILE_BYTES = 128 << 20
 
 # Fixed by the file source; a stream has to be told.
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def whole_files(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
+def whole_files(
+    spark: SparkSession,
+    root: str,
+    streaming: bool = False,
+    longest: int = WHOLE_FILE_BYTES,
+) -> DataFrame:
     """Text and HTML files, one row each: path, size, mtime, name, format, text.
 
-    With ``streaming`` the same rows come from a file stream.
+    Longer files are left to ``table_rows``.  With ``streaming`` the rows come
+    from a file stream.
     """
-    def read(*suffixes: str) -> DataFrame:
-        reader = spark.readStream.schema(_BINARY_SCHEMA) if streaming else spark.read
-        return (
-            reader.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", any_case(*suffixes))
-            .load(root)
+    reader = spark.readStream.schema(_BINARY_SCHEMA) if streaming else spark.read
+    files = (
+        reader.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", any_case(*_WHOLE))
+        .load(root)
+        .where(f"length <= {longest}")
+        .selectExpr(*file_columns(), "content")
+    )
+    text = (
+        f"case when {family('path')} = 'html' then {html_text('html')} "
+        f"else {decode_text('content')} end"
+    )
+    return with_metadata(
+        files.selectExpr("*", f"{decode_utf8_lossy('content')} as html").selectExpr(
+            "path", "size", "mtime", f"{text} as text"
         )
-
-    plain = read(".txt", ".md").selectExpr(*file_columns(), f"{decode_text('content')} as text")
-    pages = (
-        read(".html", ".htm")
-        .selectExpr(*file_columns(), f"{decode_utf8_lossy('content')} as html")
-        .selectExpr("path", "size", "mtime", f"{html_text('html')} as text")
     )
-    return with_metadata(plain.unionByName(pages))
 
 
-def table_rows(spark: SparkSession, root: str) -> DataFrame:
-    """CSV, JSON and Parquet files, one row per record, columns as above."""
+def table_rows(spark: SparkSession, root: str, longest: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """CSV, JSON and Parquet records and the lines of overlong files, columns as above."""
     parts = [
         csv_rows(spark, root, any_case(".csv")),
-        json_records(spark, root, any_case(".json")),
-        parquet_rows_or_none(spark, root, any_case(".parquet")),
+        json_records(spark, root, any_case(*_JSON), longest),
+        line_rows(spark, root, any_case(*_WHOLE, *_JSON), longer_than=longest),
+        *parquet_rows_any_schema(spark, root, any_case(".parquet")),
     ]
-    return with_metadata(reduce(DataFrame.unionByName, [p for p in parts if p is not None]))
+    return with_metadata(reduce(DataFrame.unionByName, parts))

@@ -38,8 +38,8 @@ def csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     which keeps every byte, and each row is then decoded by the usual order of
     encodings.  The number of columns comes from one aggregate over the lines.
     """
-    lines = _reader(spark, glob).option("encoding", "ISO-8859-1").text(path)
-    separators = "char_length(value) - char_length(replace(value, ',', ''))"
+    lines = _reader(spark, glob).text(path)
+    separators = "octet_length(value) - octet_length(replace(value, ',', ''))"
     widest = lines.selectExpr(f"max({separators}) as n").first()["n"]
     width = min((widest or 0) + 1, MAX_CSV_COLUMNS)
     cells = [f"c{i}" for i in range(width)]
@@ -69,14 +69,28 @@ def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
 
-def json_records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def line_rows(spark: SparkSession, path: str, glob: str, longer_than: int) -> DataFrame:
+    """Lines of the files above a size, as rows (path, size, mtime, text).
+
+    Only the lines are kept together, so a match does not run over a line end.
+    Each line is decoded by the usual order of encodings.
+    """
+    lines = _reader(spark, glob).text(path).where(f"_metadata.file_size > {longer_than}")
+    # The text source hands over the bytes of a line as they are.
+    text = let("b", "cast(value as binary)", decode_text("b"))
+    return lines.selectExpr(*file_columns(), f"{text} as text")
+
+
+def json_records(
+    spark: SparkSession, path: str, glob: str | None = None, longest: int = (1 << 31) - 1
+) -> DataFrame:
     """Rows (path, size, mtime, text) of JSON documents, one per record.
 
     A document is an array of records, one object, or one object per line.
     Objects in an array field count as records of their own.  Whatever does not
     parse gives no row.
     """
-    files = _reader(spark, glob).format("binaryFile").load(path)
+    files = _reader(spark, glob).format("binaryFile").load(path).where(f"length <= {longest}")
     bodies = files.selectExpr(
         *file_columns(), f"btrim({decode_text('content')}, ' \\t\\n') as body"
     )
@@ -155,22 +169,53 @@ def json_table(
 def parquet_rows(
     spark: SparkSession, path: str, columns: list[str] | None = None, glob: str | None = None
 ) -> DataFrame:
-    """Row texts of Parquet files; name the columns to read only those.
+    """Row texts of Parquet files of one table; name the columns to read only those."""
+    table = _reader(spark, glob).parquet(path)
+    return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
+
 
-    With a glob, files of different schemas are read through one merged schema.
+def parquet_rows_any_schema(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:
+    """Row texts of all Parquet files below a directory, whatever their schemas.
+
+    Files are read through one merged schema; where the types of two files
+    clash, each folder is read apart, and in a mixed folder each file.  A file
+    that is not Parquet at all gives no rows, as any unreadable file does.
     """
-    reader = _reader(spark, glob)
-    if glob:
-        reader = reader.option("mergeSchema", "true")
-    table = reader.parquet(path)
-    return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
+    def read(*paths: str) -> DataFrame:
+        table = (
+            _reader(spark, glob)
+            .option("mergeSchema", "true")
+            .option("ignoreCorruptFiles", "true")
+            .parquet(*paths)
+        )
+        return table.selectExpr(*file_columns(), f"{row_text(table)} as text")
+
+    def read_apart(groups: list[list[str]]) -> list[DataFrame]:
+        out: list[DataFrame] = []
+        for paths in groups:
+            try:
+                out.append(read(*paths))
+            except Exception as error:
+                if "UNABLE_TO_INFER_SCHEMA" in str(error):
+                    continue
+                if "CANNOT_MERGE" not in str(error) or groups == [[paths[0]]]:
+                    raise
+                out += read_apart([[p] for p in paths])
+        return out
 
-def parquet_rows_or_none(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
-    """As above; None when the directory holds no such file."""
     try:
-        return parquet_rows(spark, path, glob=glob)
+        return [read(path)]
     except AnalysisException as error:
         if "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
+            return []
         raise
+    except Exception as error:
+        if "CANNOT_MERGE" not in str(error):
+            raise
+    # File names only; the file index holds them on the driver already.
+    names = _reader(spark, glob).format("binaryFile").load(path).select("path").collect()
+    folders: dict[str, list[str]] = {}
+    for (name,) in names:
+        folders.setdefault(name.rsplit("/", 1)[0], []).append(name)
+    return read_apart(list(folders.values()))
