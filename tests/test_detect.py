@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import CATEGORIES, CONFIGURED_CATEGORIES
 from veilspan.operators.detect import count_matches, findings
+from veilspan.operators.profile import category_counts, count_findings
 from veilspan.plans.corpus import OVERLAY
 
 EMPLOYEE = """
@@ -159,6 +160,10 @@ def test_counts_agree_with_findings(spark):
         for r in findings(df, ["k"], with_offsets=False).groupBy("k", "category").count().collect()
     }
     assert by_count == by_row
+    grouped = category_counts(df.withColumnRenamed("k", "path")).collect()
+    assert {(r.path, r.category): r.n for r in grouped} == by_row
+    grouped = count_findings(findings(df, ["k"]), "k").collect()
+    assert {(r.k, r.category): r.n for r in grouped} == by_row
 
 
 def test_many_matches_in_one_row(spark):

@@ -5,8 +5,8 @@ Three points of dialect matter:
 * The ASCII/Unicode mode of a word boundary differs between regex engines and
   JDK releases, so boundaries are spelled out with look-around over ``WORD``.
 * ``(?iu:...)`` is needed for Cyrillic; ``i`` alone folds ASCII only.
-* A rule starts with a cheap look-ahead for its first character wherever
-  possible, so most positions are rejected before the look-behind runs.
+* A rule tests its first character before anything else, so most positions are
+  rejected before a look-behind runs.  ``x(?<!W.)`` is ``(?<!W)x`` in that order.
 
 ``(?=x)`` prefixes and possessive ``++`` are pure speed-ups: they never change
 which text matches.
@@ -33,7 +33,9 @@ RIGHT = f"(?!{WORD})"
 EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 S = f"[{SPACE}]"
 DASH = f"[{SPACE}\\-]?"
-START_DIGIT = f"(?={DIGIT}){LEFT}"
+# First character of a word, taken before the look-behind so that other positions
+# fail on one cheap test.
+AFTER_FIRST = f"(?<!{WORD}.)"
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ class Rule:
     pattern: str
     gate: str
     core: str | None = None
-    stems: str | None = None
+    stems: tuple[str, ...] = ()
 
 
 # Three digits, three digits with at most a bracket and a dash between, or the
@@ -68,11 +70,12 @@ def _rules() -> tuple[Rule, ...]:
     phone_core = (
         rf"[489]{DIGIT}{{2}}\)?{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{2}}{DASH}{DIGIT}{{2}}"
     )
+    address_marks = [r"г\.", "город", r"ул\.", "улица", r"пр\.", "проспект", r"д\.", "дом"]
     # --- fixed values: category order, keyword stems, number layouts ------
     table = [
         (
             "fio",
-            f"(?=[А-ЯЁ]){LEFT}{fio_word}{S}+{fio_word}(?:{S}+{fio_word})?{RIGHT}",
+            f"[А-ЯЁ]{AFTER_FIRST}[а-яё]+{S}+{fio_word}(?:{S}+{fio_word})?{RIGHT}",
             "cyrillic",
         ),
         (
@@ -97,7 +100,8 @@ def _rules() -> tuple[Rule, ...]:
         ),
         (
             "snils",
-            f"{START_DIGIT}{DIGIT}{{3}}{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{2}}{RIGHT}",
+            f"{DIGIT}{AFTER_FIRST}{DIGIT}{{2}}{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{3}}{DASH}"
+            f"{DIGIT}{{2}}{RIGHT}",
             "number",
         ),
         (
@@ -108,15 +112,15 @@ def _rules() -> tuple[Rule, ...]:
         ),
         (
             "driver_license",
-            f"{START_DIGIT}{DIGIT}{{2}}{S}?{DIGIT}{{2}}{S}?{DIGIT}{{6}}{RIGHT}",
+            f"{DIGIT}{AFTER_FIRST}{DIGIT}{S}?{DIGIT}{{2}}{S}?{DIGIT}{{6}}{RIGHT}",
             "number",
         ),
         (
             "bank_card",
-            f"{START_DIGIT}(?:{DIGIT}{{4}}{DASH}){{3}}{DIGIT}{{4}}{RIGHT}",
+            f"{DIGIT}{AFTER_FIRST}{DIGIT}{{3}}{DASH}(?:{DIGIT}{{4}}{DASH}){{2}}{DIGIT}{{4}}{RIGHT}",
             "number",
         ),
-        ("bank_account", f"{START_DIGIT}{DIGIT}{{20}}{RIGHT}", "number"),
+        ("bank_account", f"{DIGIT}{AFTER_FIRST}{DIGIT}{{19}}{RIGHT}", "number"),
         (
             "bik",
             f"(?=[0бБ{FOLDED}]){LEFT}(?:(?iu:бик)[{SPACE}:№]*)?04{DIGIT}{{7}}{RIGHT}",
@@ -130,8 +134,7 @@ def _rules() -> tuple[Rule, ...]:
         ),
         (
             "address",
-            rf"(?={CYRILLIC})(?iu)"
-            rf"(?:г(?:\.|ород)|ул(?:\.|ица)|пр(?:\.|оспект)|д(?:\.|ом))[{SPACE}.]+"
+            f"(?={CYRILLIC})(?iu)(?:{_by_first_letter(address_marks)})[{SPACE}.]+"
             rf"[А-ЯЁа-яё0-9{SPACE}\-,.]+",
             "cyrillic",
         ),
@@ -178,14 +181,21 @@ def _rules() -> tuple[Rule, ...]:
     return tuple(Rule(i, *row) for i, row in enumerate(table))
 
 
-def _stems(*stems: str) -> tuple[str, str, None, str]:
+def _stems(*stems: str) -> tuple[str, str, None, tuple[str, ...]]:
     """Pattern, gate, core and stems of a word that begins with a stem."""
-    joined = "|".join(stems)
-    return _stem_pattern(joined), "cyrillic", None, joined
+    return _stem_pattern(stems), "cyrillic", None, stems
 
 
-def _stem_pattern(joined: str) -> str:
-    return f"(?={CYRILLIC}){LEFT}(?iu:{joined}){WORD}*{RIGHT}"
+def _stem_pattern(stems) -> str:
+    return f"(?={CYRILLIC}){LEFT}(?iu:{_by_first_letter(stems)}){WORD}*{RIGHT}"
+
+
+def _by_first_letter(stems) -> str:
+    """Alternation grouped so that one letter test picks the branch."""
+    groups: dict[str, list[str]] = {}
+    for stem in stems:
+        groups.setdefault(stem[0], []).append(stem[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in groups.items())
 
 
 RULES: tuple[Rule, ...] = _rules()
@@ -194,7 +204,7 @@ CATEGORIES: tuple[str, ...] = tuple(r.category for r in RULES)
 # One pass for all keyword rules.  Every match starts at a word start, no stem of
 # one rule is a prefix of another rule's, and no second word of a two-word stem
 # starts a match, so the matches of the union are exactly those of its parts.
-KEYWORD_PATTERN = _stem_pattern("|".join(r.stems for r in RULES if r.stems))
+KEYWORD_PATTERN = _stem_pattern([stem for r in RULES for stem in r.stems])
 
 # Categories a stock configuration lists; the bank code rule is not among them.
 CONFIGURED_CATEGORIES: tuple[str, ...] = tuple(c for c in CATEGORIES if c != "bik")

@@ -45,7 +45,8 @@ def _extract(gate: str, pattern: str, core: str | None = None) -> str:
 def _candidates(rule: Rule) -> str:
     """All leftmost non-overlapping matches, before the checksum test."""
     if rule.stems:
-        return f"filter(_keywords, k -> rlike(k, {quoted(f'^(?iu:{rule.stems})')}))"
+        own = f"^(?iu:{'|'.join(rule.stems)})"
+        return f"filter(_keywords, k -> rlike(k, {quoted(own)}))"
     return _extract(rule.gate, rule.pattern, rule.core)
 
 

@@ -72,9 +72,8 @@ def with_recommendations(df: DataFrame, level: str = "protection_level") -> Data
 
     The lookup table has five rows, so broadcasting it is always safe.
     """
-    table = df.sparkSession.createDataFrame(
-        RECOMMENDATIONS, f"{level} string, advice string"
-    )
+    rows = ", ".join(f"('{name}', '{advice}')" for name, advice in RECOMMENDATIONS)
+    table = df.sparkSession.sql(f"select * from values {rows} as t(`{level}`, advice)")
     return df.join(F.broadcast(table), level, "left").selectExpr(
         *df.columns, "coalesce(advice, '') as recommendation"
     )

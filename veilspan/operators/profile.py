@@ -66,6 +66,25 @@ def profile_rows(
     return _finish(grouped.where(f"{any_match} > 0"), categories)
 
 
-def category_counts(found: DataFrame, key: str = "path") -> DataFrame:
-    """Matches per file and category; ``ordinal`` keeps the rule order."""
-    return found.groupBy(key, "ordinal", "category").count().withColumnRenamed("count", "n")
+def category_counts(corpus: DataFrame, text: str = "text", categories=None) -> DataFrame:
+    """Matches per file and category: path, category, n.
+
+    Rows are counted where they are; only partial sums per file and category
+    are shuffled, never single matches.
+    """
+    names = [r.category for r in select_rules(categories)]
+    pairs = ", ".join(
+        f"named_struct('category', '{n}', 'n', counts.{n})" for n in names
+    )
+    counted = count_matches(corpus, ["path"], text, categories)
+    return (
+        counted.selectExpr("path", f"inline(array({pairs}))")
+        .where("n > 0")
+        .groupBy("path", "category")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def count_findings(found: DataFrame, key: str = "path") -> DataFrame:
+    """The same from a findings table."""
+    return found.groupBy(key, "category").agg(F.count("*").alias("n"))

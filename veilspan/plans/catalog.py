@@ -225,8 +225,7 @@ def mask_identifier(spark, sf_dir):
 
 # --- E, F: profiles and levels ------------------------------------------------
 def category_query(spark, sf_dir):
-    found = corpus.corpus_findings(spark, sf_dir)
-    return category_counts(found).select("path", "category", "n")
+    return category_counts(corpus.corpus_rows(spark, sf_dir))
 
 
 def file_profile(spark, sf_dir):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.sqltext import quoted
 from veilspan.functions.text import html_text
-from veilspan.operators.detect import findings
 from veilspan.operators.profile import profile_files, profile_rows
 from veilspan.plans.runtime import spread
 from veilspan.sources.listing import with_metadata
@@ -100,11 +99,10 @@ def conversation_profile(spark: SparkSession, sf_dir: str, categories=None) -> D
     return profile_rows(turns(spark, sf_dir), categories=categories, sum_sizes=True)
 
 
-def corpus_findings(spark: SparkSession, sf_dir: str, with_offsets: bool = False) -> DataFrame:
-    """Matches of the whole corpus with their file path."""
-    parts = [documents, pages, turns]
-    rows = [p(spark, sf_dir).select("path", "text") for p in parts]
-    return findings(reduce(DataFrame.unionByName, rows), ["path"], with_offsets=with_offsets)
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the whole corpus to scan: path, text."""
+    parts = [documents(spark, sf_dir), pages(spark, sf_dir), turns(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, [p.select("path", "text") for p in parts])
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
