@@ -42,10 +42,11 @@ AFTER_FIRST = f"(?<!{WORD}.)"
 class Rule:
     """One category: its place in the report order, pattern and row gate.
 
-    ``gate`` names a cheap test shared by several rules and ``core`` is an
-    optional simpler pattern; both hold for every text the rule can match, so
-    rows failing one of them skip the rule.  Rules with ``stems`` share one
-    pass: see KEYWORD_PATTERN.
+    ``gate`` names a cheap test shared by several rules.  The core of a numeric
+    rule is the part of it that lies within one NUMBER_RUN and is looked for in
+    those runs only.  Both hold for every text the rule can match, so rows
+    failing one of them skip the rule.  Rules with ``stems`` share one pass:
+    see KEYWORD_PATTERN.
     """
 
     ordinal: int
@@ -56,11 +57,9 @@ class Rule:
     stems: tuple[str, ...] = ()
 
 
-# Three digits, three digits with at most a bracket and a dash between, or the
-# separator and year of a date: every numeric rule contains one of these.
-NUMBER_GATE = (
-    rf"(?=[{DIGIT}./-])(?:{DIGIT}{{3}}\)?{DASH}{DIGIT}{{3}}|[./-](?:19|20){DIGIT}{{2}})"
-)
+# Maximal run of what may stand inside a numeric match, from its first digit on.
+# The shortest numeric match has eight characters.
+NUMBER_RUN = rf"{DIGIT}[{DIGIT}{SPACE}\-)./№]{{7,}}"
 
 
 def _rules() -> tuple[Rule, ...]:
@@ -103,6 +102,7 @@ def _rules() -> tuple[Rule, ...]:
             f"{DIGIT}{AFTER_FIRST}{DIGIT}{{2}}{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{3}}{DASH}"
             f"{DIGIT}{{2}}{RIGHT}",
             "number",
+            f"(?:{DIGIT}{{3}}{DASH}){{3}}{DIGIT}{{2}}",
         ),
         (
             "inn",
@@ -114,13 +114,20 @@ def _rules() -> tuple[Rule, ...]:
             "driver_license",
             f"{DIGIT}{AFTER_FIRST}{DIGIT}{S}?{DIGIT}{{2}}{S}?{DIGIT}{{6}}{RIGHT}",
             "number",
+            f"{DIGIT}{{2}}{S}?{DIGIT}{{2}}{S}?{DIGIT}{{6}}",
         ),
         (
             "bank_card",
             f"{DIGIT}{AFTER_FIRST}{DIGIT}{{3}}{DASH}(?:{DIGIT}{{4}}{DASH}){{2}}{DIGIT}{{4}}{RIGHT}",
             "number",
+            f"(?:{DIGIT}{{4}}{DASH}){{3}}{DIGIT}{{4}}",
+        ),
+        (
+            "bank_account",
+            f"{DIGIT}{AFTER_FIRST}{DIGIT}{{19}}{RIGHT}",
+            "number",
+            f"{DIGIT}{{20}}",
         ),
-        ("bank_account", f"{DIGIT}{AFTER_FIRST}{DIGIT}{{19}}{RIGHT}", "number"),
         (
             "bik",
             f"(?=[0бБ{FOLDED}]){LEFT}(?:(?iu:бик)[{SPACE}:№]*)?04{DIGIT}{{7}}{RIGHT}",
@@ -131,6 +138,7 @@ def _rules() -> tuple[Rule, ...]:
             "birth_date",
             f"(?=[0-9]){LEFT}{day}[./-]{month}[./-](?:19|20){DIGIT}{{2}}{RIGHT}",
             "number",
+            f"[0-9][./-][0-9]{{1,2}}[./-](?:19|20){DIGIT}{{2}}",
         ),
         (
             "address",

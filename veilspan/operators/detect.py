@@ -18,28 +18,32 @@ from veilspan.functions.patterns import (
     CATEGORIES,
     CYRILLIC,
     KEYWORD_PATTERN,
-    NUMBER_GATE,
+    NUMBER_RUN,
     Rule,
     select_rules,
 )
 from veilspan.functions.sqltext import quoted, running_sums
 
-# Cheap necessary condition for each group of rules.
+_NOTHING = "cast(array() as array<string>)"
+
+
+def _extract_all(pattern: str) -> str:
+    return f"regexp_extract_all(_text, {quoted(pattern)}, 0)"
+
+
+# Cheap necessary condition for each group of rules.  For numbers it is not a
+# flag but the few pieces of text that can hold one.
 _GATES = {
     "cyrillic": "octet_length(_text) > char_length(_text) and "
     f"rlike(_text, {quoted(CYRILLIC)})",
     "at_sign": "contains(_text, '@')",
-    "number": f"rlike(_text, {quoted(NUMBER_GATE)})",
+    "number": f"array_join({_extract_all(NUMBER_RUN)}, '|')",
 }
-_NOTHING = "cast(array() as array<string>)"
 
 
 def _extract(gate: str, pattern: str, core: str | None = None) -> str:
-    possible = f"_{gate}"
-    if core:
-        possible += f" and rlike(_text, {quoted(core)})"
-    found = f"regexp_extract_all(_text, {quoted(pattern)}, 0)"
-    return f"coalesce(case when {possible} then {found} end, {_NOTHING})"
+    possible = f"rlike(_{gate}, {quoted(core)})" if core else f"_{gate}"
+    return f"coalesce(case when {possible} then {_extract_all(pattern)} end, {_NOTHING})"
 
 
 def _candidates(rule: Rule) -> str:

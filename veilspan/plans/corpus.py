@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.sqltext import quoted
 from veilspan.functions.text import html_text
-from veilspan.operators.profile import profile_files, profile_rows
+from veilspan.operators.profile import FILE_COLUMNS, profile_files, profile_rows
 from veilspan.plans.runtime import spread
 from veilspan.sources.listing import with_metadata
 
@@ -87,12 +87,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_profile(spark: SparkSession, sf_dir: str, categories=None) -> DataFrame:
     """Profiles of documents, pages and conversations."""
-    parts = [
-        profile_files(documents(spark, sf_dir), categories=categories),
-        profile_files(pages(spark, sf_dir), categories=categories),
-        conversation_profile(spark, sf_dir, categories),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    columns = [*FILE_COLUMNS, "text"]
+    whole = documents(spark, sf_dir).select(columns).unionByName(
+        pages(spark, sf_dir).select(columns)
+    )
+    return profile_files(whole, categories=categories).unionByName(
+        conversation_profile(spark, sf_dir, categories)
+    )
 
 
 def conversation_profile(spark: SparkSession, sf_dir: str, categories=None) -> DataFrame:
