@@ -57,6 +57,9 @@ class Rule:
     stems: tuple[str, ...] = ()
 
 
+# Shape of a domain: without one, long runs of address characters are not tried.
+EMAIL_GATE = r"@[A-Za-z0-9.\-]+\.[A-Z|a-z]{2}"
+
 # Maximal run of what may stand inside a numeric match, from its first digit on.
 # The shortest numeric match has eight characters.
 NUMBER_RUN = rf"{DIGIT}[{DIGIT}{SPACE}\-)./№]{{7,}}"

@@ -17,6 +17,7 @@ from veilspan.functions import checks, masks
 from veilspan.functions.patterns import (
     CATEGORIES,
     CYRILLIC,
+    EMAIL_GATE,
     KEYWORD_PATTERN,
     NUMBER_RUN,
     Rule,
@@ -36,7 +37,7 @@ def _extract_all(pattern: str) -> str:
 _GATES = {
     "cyrillic": "octet_length(_text) > char_length(_text) and "
     f"rlike(_text, {quoted(CYRILLIC)})",
-    "at_sign": "contains(_text, '@')",
+    "at_sign": f"contains(_text, '@') and rlike(_text, {quoted(EMAIL_GATE)})",
     "number": f"array_join({_extract_all(NUMBER_RUN)}, '|')",
 }
 
