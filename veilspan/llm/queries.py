@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilspan.llm import hash_tree, mixing
+from veilspan.llm import hash_tree, mixing, winnowing
 
 QUERIES = {
+    "op4_winnowing": winnowing.op4_winnowing,
     "op8_source_mix": mixing.op8_source_mix,
     "op10_hash_tree": hash_tree.op10_hash_tree,
 }
 
-SQL = {"op8_source_mix": mixing.OP8_SQL}
+SQL = {"op4_winnowing": winnowing.OP4_SQL, "op8_source_mix": mixing.OP8_SQL}
