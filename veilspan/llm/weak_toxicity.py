@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters: lexicons of words that labelled toxic documents use (several disjoint ones), a seed lexicon
-and patterns of style.  Each votes toxic, clean or abstains.  A generative label model, fitted by
+Voters: lexicons of words and word beginnings that labelled toxic documents use (several disjoint
+ones), a seed lexicon and patterns of style.  Each votes toxic, clean or abstains.  A generative label model, fitted by
 expectation maximisation over the distinct vote patterns, estimates how each voter votes on either
 class; voters that agree beyond what the class explains share their weight.  A linear classifier
 is trained on the model's posterior labels and scores every whole text.
@@ -28,10 +28,12 @@ from veilspan.llm.common import crc_bucket, table
 from veilspan.llm.scratch import cut
 
 MOST_ROWS = 20_000
-LEXICON_WORDS = 240
+LEXICON_TERMS = 400
 LEXICONS = 6
-LEAST_DOCUMENTS = 5
-LEAST_SHARE = 0.02
+LEAST_DOCUMENTS = 4
+LEAST_SHARE = 0.005
+LEAST_ODDS = 3.5  # natural logarithm
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 THRESHOLD = 0.3
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 SEED_WORDS = (
@@ -50,6 +52,18 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return tk.Prefix(data).ranges(starts, ends)
 
 
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of all words, and of the beginnings of longer ones; and words by row."""
+    starts, ends, row = tk.words(data, offsets, _WORD)
+    prefix = tk.Prefix(data)
+    rows, hashes = [row], [prefix.ranges(starts, ends)]
+    for n in BEGINNINGS:
+        longer = ends - starts > n
+        rows.append(row[longer])
+        hashes.append(tk.mix(prefix.ranges(starts[longer], starts[longer] + n) + np.uint64(1)))
+    return np.concatenate(rows), np.concatenate(hashes), tk.per_row(row, len(offsets) - 1)
+
+
 def _style(raw: np.ndarray, offsets: np.ndarray, starts, ends, row) -> np.ndarray:
     """Shares of bytes or words, one column for each name of STYLE."""
     n_rows = len(offsets) - 1
@@ -68,12 +82,11 @@ def features(column: pa.Array, lexicon: np.ndarray):
     for first, end, raw, offsets in tk.slices(column):
         low_column = pc.utf8_lower(column.slice(first, end - first))
         for a, b, data, low_offsets in tk.slices(low_column, 1 << 62):
-            starts, ends, row = tk.words(data, low_offsets, _WORD)
-            h = tk.Prefix(data).ranges(starts, ends)
+            row, h, n_words = terms(data, low_offsets)
             at = np.minimum(np.searchsorted(lexicon, h), max(len(lexicon) - 1, 0))
             hit = lexicon[at] == h if len(lexicon) else np.zeros(len(h), bool)
             raw_starts, raw_ends, raw_row = tk.words(tk.LOWER[raw], offsets, _WORD)
-            yield first, end, row[hit], at[hit], _style(raw, offsets, raw_starts, raw_ends, raw_row), tk.per_row(row, end - first)
+            yield first, end, row[hit], at[hit], _style(raw, offsets, raw_starts, raw_ends, raw_row), n_words
 
 
 def _matrix(rows, at, style, n_rows: int, width: int) -> np.ndarray:
@@ -154,12 +167,13 @@ def _distinct_words(batches):
         texts = pc.utf8_lower(batch.column("text").fill_null(""))
         toxic = np.asarray(batch.column("toxic").to_pylist(), np.int64)
         for first, end, data, offsets in tk.slices(texts):
-            starts, ends, row = tk.words(data, offsets, _WORD)
-            h = tk.Prefix(data).ranges(starts, ends)
-            both = np.unique(np.stack([row.astype(np.uint64), h], 1), axis=0)
-            words, n = np.unique(both[:, 1], return_counts=True)
-            bad = np.isin(both[:, 0].astype(np.int64), np.flatnonzero(toxic[first:end] == 1))
-            seen, k = np.unique(both[bad, 1], return_counts=True)
+            row, h, _ = terms(data, offsets)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, bool)
+            row, h = row[new], h[new]
+            words, n = np.unique(h, return_counts=True)
+            seen, k = np.unique(h[toxic[first:end][row] == 1], return_counts=True)
             in_toxic = np.zeros(len(words), np.int64)
             in_toxic[np.searchsorted(words, seen)] = k
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +196,7 @@ def train(rows: DataFrame) -> ToxicityModel:
         sample.mapInArrow(_distinct_words, "h bigint, n bigint, n_toxic bigint")
         .groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("k"))
         .where((F.col("k") >= LEAST_DOCUMENTS) & (F.col("k") >= LEAST_SHARE * n_toxic)).withColumn("odds", odds)
-        .where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("k")), "h").limit(LEXICON_WORDS).collect()
+        .where(F.col("odds") > LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("k")), "h").limit(LEXICON_TERMS).collect()
     )
     found = np.array([r["h"] for r in words], np.int64).view(np.uint64)
     seeds = word_hashes(SEED_WORDS)
