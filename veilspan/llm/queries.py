@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilspan.llm import hash_tree, jaccard_join, language_filters, mixing, weak_toxicity, winnowing
+from veilspan.llm import hash_tree, jaccard_join, language_filters, mixing, tree_scoring, weak_toxicity, winnowing
 
 QUERIES = {
     "op4_winnowing": winnowing.op4_winnowing,
     "op5_weak_toxicity": weak_toxicity.op5_weak_toxicity,
     "op6_grouped_prefix": jaccard_join.op6_grouped_prefix,
+    "op7_tree_scoring": tree_scoring.op7_tree_scoring,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_filters": language_filters.op9_language_filters,
     "op10_hash_tree": hash_tree.op10_hash_tree,
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op4_winnowing": winnowing.OP4_SQL,
     "op6_grouped_prefix": jaccard_join.OP6_SQL,
+    "op7_tree_scoring": tree_scoring.op7_tree_scoring,
     "op8_source_mix": mixing.OP8_SQL,
 }
