@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilspan.llm import hash_tree, jaccard_join, language_filters, mixing, tree_scoring, weak_toxicity, winnowing
+from veilspan.llm import hash_tree, jaccard_join, language_filters, line_crf, mixing, tree_scoring, weak_toxicity, winnowing
 
 QUERIES = {
+    "op3_line_crf": line_crf.op3_line_crf,
     "op4_winnowing": winnowing.op4_winnowing,
     "op5_weak_toxicity": weak_toxicity.op5_weak_toxicity,
     "op6_grouped_prefix": jaccard_join.op6_grouped_prefix,
