@@ -46,3 +46,29 @@ def listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """Bit (value mod BITMAP_BITS) for each value of a long column: 8 MB, however many values.
+
+    Built by partial aggregates; the driver gets at most BITMAP_BITS / 32768 pieces of 4 KB.
+    """
+    at = F.expr(f"({column} & {BITMAP_BITS - 1}) + 1")
+    pieces = (
+        values.select(at.alias("b"))
+        .groupBy(F.expr("bitmap_bucket_number(b)").alias("k"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    )
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for k, piece in pieces.collect():  # bucket k holds the values (k - 1) * 32768 + 1 .. k * 32768
+        bits[(k - 1) * 4096 : (k - 1) * 4096 + len(piece)] = np.frombuffer(piece, np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set."""
+    where = (values.view(np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    return ((bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1).astype(bool)

@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import table
+from veilspan.llm.common import bitmap, in_bitmap, table
 from veilspan.llm.components import components
 from veilspan.llm.scratch import cut, shuffle_partitions
 
@@ -36,7 +37,6 @@ PERCENT = 75
 FEW = 24
 OFTEN = 4  # times within a block of shingles
 BLOCK = 1 << 22
-BITS = 1 << 26
 MOST_FREQUENT = 1 << 23
 _U = np.uint64
 
@@ -110,7 +110,7 @@ def _measured(batches):
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """Bit hash mod BITS of the most frequent shingles, at most MOST_FREQUENT by whole powers of two."""
+    """Bitmap of the most frequent shingles, at most MOST_FREQUENT by whole powers of two."""
     counted = cut(frequent.groupBy("h").agg(F.sum("often").alias("n")), "often")
     by_power = counted.groupBy(F.floor(F.log2("n")).alias("p")).count().collect()  # at most 63 rows
     least, total = 64, 0
@@ -119,24 +119,12 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
         if total > MOST_FREQUENT:
             break
         least = p
-    at = F.expr(f"(h & {BITS - 1}) + 1")
-    pieces = (
-        counted.where(F.col("n") >= 2.0**least)
-        .select(at.alias("b"))
-        .groupBy(F.expr("bitmap_bucket_number(b)").alias("k"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    )
-    bits = np.zeros(BITS // 8, np.uint8)
-    for k, piece in pieces.collect():  # 8 MB at most
-        bits[(k - 1) * 4096 : (k - 1) * 4096 + len(piece)] = np.frombuffer(piece, np.uint8)
-    return bits
+    return bitmap(counted.where(F.col("n") >= 2.0**least), "h")
 
 
 def prefixes(h: np.ndarray, rows: np.ndarray, counts: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle) of all prefixes in the common order, and the group of each row."""
-    where = (h & _U(BITS - 1)).astype(np.int64)
-    last = (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1
-    order = np.lexsort((h, last, rows))
+    order = np.lexsort((h, in_bitmap(bits, h), rows))
     h, rows = h[order], rows[order]
     ends = np.cumsum(counts)
     nth = np.arange(len(h)) - (ends - counts)[rows]
@@ -150,12 +138,14 @@ def prefixes(h: np.ndarray, rows: np.ndarray, counts: np.ndarray, bits: np.ndarr
 def _postings(shared, buckets: int):
     """Blocks of (shingle, group, size), dealt to buckets by the shingle; one row per bucket and block.
 
-    A group that a block has seen is not posted again; of a shingle with more than FEW groups in
-    the block only one group is posted, marked as crowded, and all go out as rows of their own.
+    A group or node that a block has seen is not posted again; of a shingle with more than FEW
+    groups in the block only one group is posted, marked as crowded, and all go out as rows
+    (shingle, group, -size) of their own.  Nodes go out as (node, group, size).  Both kinds of
+    rows only pass through the buckets, which they are dealt to evenly, so one shuffle carries all.
     """
 
     def run(batches):
-        tokens, groups, sizes, total, seen = [], [], [], 0, set()
+        tokens, groups, sizes, total, seen, seen_nodes = [], [], [], 0, set(), set()
 
         def flush():
             t, g, n = np.concatenate(tokens), np.concatenate(groups), np.concatenate(sizes)
@@ -166,8 +156,7 @@ def _postings(shared, buckets: int):
             crowded = np.repeat(many > FEW, many)
             lead = np.zeros(len(t), bool)
             lead[start] = True
-            out = crowded
-            yield _rows(np.full(out.sum(), -1), t[out], g[out], n[out])
+            yield _rows(((g[crowded].view(np.uint64) ^ t[crowded]) % _U(buckets)), t[crowded], g[crowded], -n[crowded])
             keep = ~crowded | lead
             t, g, n = t[keep], g[keep], np.where(crowded[keep], -n[keep], n[keep])
             bucket = (t >> _U(32)) % _U(buckets)
@@ -191,15 +180,8 @@ def _postings(shared, buckets: int):
                 rows, h, counts = shingle_sets(data, offsets)
                 nodes = _nodes(h, counts)
                 rows, h, group = prefixes(h, rows, counts, shared.value)
-                # group of every node, for the node table
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(end - first, -2, np.int32)),
-                        *(pa.nulls(end - first, pa.binary()) for _ in range(3)),
-                        pa.array(nodes), pa.array(group), pa.array(counts, pa.int64()),
-                    ],
-                    names=_POSTED,
-                )
+                new = np.array([not (x in seen_nodes or seen_nodes.add(x)) for x in nodes.tolist()], bool) & (counts > 0)
+                yield _rows(nodes[new].view(np.uint64) % _U(buckets), nodes[new], group[new], counts[new])
                 fresh = np.array([not (x in seen or seen.add(x)) for x in group.tolist()], bool)[rows]
                 tokens.append(h[fresh])
                 groups.append(group[rows[fresh]])
@@ -207,7 +189,7 @@ def _postings(shared, buckets: int):
                 total += len(tokens[-1])
                 if total >= BLOCK // 2:
                     yield from flush()
-                    tokens, groups, sizes, total, seen = [], [], [], 0, set()
+                    tokens, groups, sizes, total, seen, seen_nodes = [], [], [], 0, set(), set()
         if total:
             yield from flush()
 
@@ -231,7 +213,12 @@ def _rows(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa
 
 
 def _paired(found: pa.Table) -> pa.Table:
-    """Of one bucket: candidate pairs of groups (kind 0) and the groups of crowded shingles (kind 1)."""
+    """Of one bucket: candidate pairs of groups (kind 0), groups of crowded shingles (1) and nodes (2)."""
+    single = found.filter(pc.is_valid(found.column("x")))
+    x, y, z = (single.column(c).to_numpy() for c in "xyz")
+    found = found.filter(pc.is_null(found.column("x")))
+    if not found.num_rows:
+        return _kinds([(np.where(z < 0, 1, 2), x, y, np.abs(z))])
     t = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in found.column("tokens")])
     g = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in found.column("groups")])
     n = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in found.column("sizes")]).astype(np.int64)
@@ -251,16 +238,21 @@ def _paired(found: pa.Table) -> pa.Table:
         ok = (g[a] != g[b]) & (100 * small >= PERCENT * large)
         pairs.append(np.stack([np.minimum(g[a[ok]], g[b[ok]]), np.maximum(g[a[ok]], g[b[ok]])], 1))
     both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return pa.table(
-        {
-            "kind": pa.array(np.concatenate([np.zeros(len(both), np.int32), np.ones(crowded.sum(), np.int32)])),
-            "x": pa.array(np.concatenate([both[:, 0], t[crowded].view(np.int64)])),
-            "y": pa.array(np.concatenate([both[:, 1], g[crowded]])),
-            "z": pa.array(np.concatenate([np.zeros(len(both), np.int64), n[crowded]])),
-        }
+    return _kinds(
+        [
+            (np.zeros(len(both)), both[:, 0], both[:, 1], np.zeros(len(both))),
+            (np.ones(crowded.sum()), t[crowded].view(np.int64), g[crowded], n[crowded]),
+            (np.where(z < 0, 1, 2), x, y, np.abs(z)),
+        ]
     )
 
 
+def _kinds(parts: list[tuple]) -> pa.Table:
+    kind, x, y, z = (np.concatenate(p) for p in zip(*parts))
+    whole = (np.asarray(v, np.int64) for v in (x, y, z))
+    return pa.table([pa.array(kind.astype(np.int32)), *(pa.array(v) for v in whole)], names=["kind", "x", "y", "z"])
+
+
 def _verified(batches):
     """Of rows (a, b, text_a, text_b), the pairs whose sets are similar enough; a is cached along its run."""
     last, known = None, None
@@ -295,6 +287,15 @@ def _texts(docs: DataFrame, text: str, measured: DataFrame, pairs: DataFrame) ->
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
     bodies = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row")).withColumn("th", F.xxhash64("text"))
+    stands = cut(stands, "stands")
+    # Texts that are surely not asked for do not leave their task; the join decides on the others.
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(stands, "th"))
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy())))
+
+    bodies = bodies.mapInArrow(likely, bodies.schema)
     return cut(bodies.join(stands, ["_row", "th"]).select("node", "text"), "texts")
 
 
@@ -313,22 +314,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     measured = scanned.where("often is null").drop("often")
     shared = spark.sparkContext.broadcast(_bitmap(scanned.where("often is not null").select(F.col("node").alias("h"), "often")))
-    posted = cut(bodies.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark)), _POSTED_SQL), "postings")
-    nodes = cut(
-        posted.where("bucket = -2 and z > 0").select(F.col("x").alias("node"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(),
-        "nodes",
-    )
     found = cut(
-        posted.where("bucket >= 0").select("bucket", "tokens", "groups", "sizes").groupBy("bucket")
-        .applyInArrow(_paired, "kind int, x bigint, y bigint, z bigint"),
+        bodies.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark)), _POSTED_SQL)
+        .groupBy("bucket").applyInArrow(_paired, "kind int, x bigint, y bigint, z bigint"),
         "candidates",
     )
+    nodes = cut(found.where("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "nodes")
     group_pairs = found.where("kind = 0").select(F.col("x").alias("g"), F.col("y").alias("g2")).distinct()
-    crowded = cut(
-        found.where("kind = 1").select(F.col("x").alias("t"), F.col("y").alias("g"), F.col("z").alias("n"))
-        .union(posted.where("bucket = -1").select("x", "y", "z")).distinct(),
-        "crowded",
-    )
+    crowded = cut(found.where("kind = 1").select(F.col("x").alias("t"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "crowded")
     # Round 1: leaders of paired groups, members with their leader, groups of a crowded shingle with one of them.
     groups = cut(nodes.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("members")), "groups")
     leader_of = groups.select(F.col("g").alias("g2"), F.col("leader").alias("b"))

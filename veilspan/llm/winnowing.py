@@ -5,7 +5,7 @@ document shares with an item share a kept hash at the same place.  Fingerprints
 joined, and each hit is extended word by word, as text; a run of SPAN equal words is a match.
 Items of fewer than SPAN words have one fingerprint, the whole item, looked up at every position.
 
-A bitmap of FILTER_BITS bits over the benchmark's fingerprints, 8 MB whatever the benchmark's
+A bitmap of BITMAP_BITS bits over the benchmark's fingerprints, 8 MB whatever the benchmark's
 size, keeps fingerprints that cannot match from leaving the task that made them.
 
 Defined results: null texts have no words, items without words match nothing; repeated items with
@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import listed, table
+from veilspan.llm.common import bitmap, in_bitmap, listed, table
 from veilspan.llm.scratch import cut
 
 SPAN = 13
 GRAM = 7
-FILTER_BITS = 1 << 26
 LEFT = SPAN - GRAM
 
 _CANDIDATE = pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("lo", pa.int32()), ("ctx", pa.string())])
@@ -64,9 +63,8 @@ def _scan(batches, others: list[str], text: str, widths: list[int], bits: np.nda
                     own = n >= SPAN if width == GRAM and not len(widths) else n == width
                     at, fp = at[own], fp[own]
                 elif bits is not None:
-                    where = (fp & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    hit = (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1
-                    at, fp = at[hit == 1], fp[hit == 1]
+                    hit = in_bitmap(bits, fp)
+                    at, fp = at[hit], fp[hit]
                 reach = LEFT if width == GRAM and (not items or not len(widths)) else 0
                 for w, f in zip(at.tolist(), fp.view(np.int64).tolist()):
                     r = int(row[w])
@@ -119,26 +117,12 @@ def _item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     return both.select("item_id", "whole", F.explode("cands").alias("c")).select("item_id", "whole", "c.fp", "c.width", F.col("c.lo").alias("b_lo"), F.col("c.ctx").alias("b_ctx"))
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
-    """The bitmap; at most FILTER_BITS bits come to the driver, as rows of 4 KB."""
-    at = F.expr(f"(fp & {FILTER_BITS - 1}) + 1")
-    pieces = (
-        windows.select(at.alias("b"))
-        .groupBy(F.expr("bitmap_bucket_number(b)").alias("n"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for n, piece in pieces.collect():  # bucket n holds the values (n - 1) * 32768 + 1 .. n * 32768
-        bits[(n - 1) * 4096 : (n - 1) * 4096 + len(piece)] = np.frombuffer(piece, np.uint8)
-    return bits
-
-
 def find_overlaps(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: the kept columns, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     windows = cut(_item_windows(items, item, item_text), "windows").withColumn("ctx_id", F.xxhash64("fp", "b_lo", "b_ctx", "whole"))
     widths = [r[0] for r in windows.where("whole").select("width").distinct().collect()]  # at most 12
-    shared = spark.sparkContext.broadcast(_filter(windows))
+    shared = spark.sparkContext.broadcast(bitmap(windows, "fp"))
 
     def scan(batches):
         yield from _scan(batches, [*keep, "_row"], "_body", widths, shared.value, False)
