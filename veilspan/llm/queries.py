@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilspan.llm import hash_tree, jaccard_join, language_filters, line_crf, mixing, run_length_index, tree_scoring, weak_toxicity, winnowing
+from veilspan.llm import hash_tree, jaccard_join, language_filters, line_crf, mixing, run_length_index, secret_forest, tree_scoring, weak_toxicity, winnowing
 
 QUERIES = {
+    "op1_secret_forest": secret_forest.op1_secret_forest,
     "op2_run_length_index": run_length_index.op2_run_length_index,
     "op3_line_crf": line_crf.op3_line_crf,
     "op4_winnowing": winnowing.op4_winnowing,
