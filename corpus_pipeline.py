@@ -4,9 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspan.llm import hash_tree, jaccard_join, mixing, weak_toxicity, winnowing
+from veilspan.llm.common import table
 from veilspan.llm.scratch import cut
 
-STAGES = []
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the classifier learns from the labels of these documents."""
+    scored = weak_toxicity.score(docs, weak_toxicity.trained_on(spark, sf_dir, docs))
+    return scored.where(scored["toxicity"] < weak_toxicity.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the one with the least doc_id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return winnowing.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.draw(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and their place in it."""
+    return hash_tree.number(hash_tree.place(docs))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
 #: Learned scores decide the first stage, so SQL cannot state the result.
 ORACLE_SQL = None

@@ -72,3 +72,31 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value's bit is set."""
     where = (values.view(np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
     return ((bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """Add _row, a number for each row of this input, and th, a hash of its text.
+
+    The number depends on how the files are split, which is the same for every scan of them; th
+    guards the joins on it.
+    """
+    return docs.withColumns({"_row": F.monotonically_increasing_id(), "th": F.xxhash64(F.col(text))})
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
+    """The rows whose th may be among the wanted ones (or surely is not); by a bitmap of fixed size."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy()) ^ inverse))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def without(docs: DataFrame, text: str, gone: DataFrame) -> DataFrame:
+    """The documents but for the gone (_row, th); only texts that may be gone are shuffled."""
+    rows, columns = numbered(docs, text), docs.columns
+    stay = maybe_in(rows, gone, inverse=True)
+    doubt = maybe_in(rows, gone).join(gone, ["_row", "th"], "left_anti")
+    return stay.select(*columns).unionByName(doubt.select(*columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import bitmap, in_bitmap, table
+from veilspan.llm.common import bitmap, in_bitmap, maybe_in, table, without
 from veilspan.llm.components import components
 from veilspan.llm.scratch import cut, shuffle_partitions
 
@@ -288,15 +288,7 @@ def _texts(docs: DataFrame, text: str, measured: DataFrame, pairs: DataFrame) ->
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
     bodies = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row")).withColumn("th", F.xxhash64("text"))
     stands = cut(stands, "stands")
-    # Texts that are surely not asked for do not leave their task; the join decides on the others.
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(stands, "th"))
-
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy())))
-
-    bodies = bodies.mapInArrow(likely, bodies.schema)
-    return cut(bodies.join(stands, ["_row", "th"]).select("node", "text"), "texts")
+    return cut(maybe_in(bodies, stands).join(stands, ["_row", "th"]).select("node", "text"), "texts")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -304,7 +296,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the key, n_shingles and component_id (least key of its component)."""
+    """One row per document: the key, n_shingles, component_id (least key of its component), _row and th."""
     spark = docs.sparkSession
     bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"))
     schema = "_row bigint, n_shingles bigint, node bigint, often bigint, th bigint"
@@ -372,19 +364,28 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     )
     ids = cut(ids, "ids")
-    named = ids.select("node", "root").join(ids.groupBy("root").agg(F.min("_least").alias("_component")), "root").drop("root")
+    named = ids.select("node", "root").join(ids.groupBy("root").agg(F.min("_least").alias("_component")), "root")
     return (
         numbered.select("_row", "_key").join(measured, "_row").join(named.withColumn("_linked", F.lit(True)), "node", "left")
         .select(
             F.col("_key").alias(key),
             "n_shingles",
             F.when((F.col("n_shingles") > 0) & F.col("_linked"), F.col("_component")).otherwise(F.col("_key")).alias("component_id"),
+            "_row", "th", "root",
         )
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, but of each component only the one with the least key (the first row on ties)."""
+    linked = cut(link_documents(docs, key, text).where("n_shingles > 0"), "linked")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).alias("f")).select(F.col("f._row").alias("_row"))
+    return without(docs, text, cut(linked.join(first, "_row", "left_anti").select("_row", "th"), "gone"))
+
+
 def op6_grouped_prefix(spark, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_documents(docs).select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""

@@ -131,8 +131,9 @@ def train(docs: DataFrame) -> LanguageFilter:
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to every row."""
+    """Add lang_pred and score to every row, in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS masks and the names
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

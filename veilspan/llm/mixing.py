@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import WHITE_WORD, table, uniform
+from veilspan.llm.common import WHITE_WORD, numbered, table, uniform
 from veilspan.llm.scratch import cut
 
 MOST_EPOCHS = 3
@@ -67,10 +67,11 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Narrow rows: id, source, size in words and the exponential key with its slice."""
+    keep = [c for c in ("_row", "th") if c in docs.columns]
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WHITE_WORD)), F.lit(0)).cast("long")
     drawn = -F.log(uniform(F.lit(SEED), F.col(key))) / prose_quality(F.col(text))
     return (
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), drawn.alias("_key"))
+        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), drawn.alias("_key"), *keep)
         # 1 - exp(-key) rises with the key and spreads keys over (0, 1).
         .withColumn("_slice", F.floor((1 - F.exp(-F.col("_key"))) * SLICES).cast("int"))
     )
@@ -93,9 +94,15 @@ def mix(measured: DataFrame) -> DataFrame:
     )
     aims = (
         aims.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_rest", "_end", "_before")
+        .select(F.col("source").alias("_t"), "source_size", "target", "_epochs", "_rest", "_end", "_before")
     )
-    rows = measured.join(aims, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # Rows meet their source's aims slice by slice, so a hot source is many small keys.
+    aims = (
+        slices.select(F.col("source").alias("_s"), F.col("_slice").alias("_k"))
+        .join(aims, F.col("_s").eqNullSafe(F.col("_t")))
+        .drop("_t")
+    )
+    rows = measured.join(aims, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))).drop("_s", "_k")
     at_end = F.col("_slice") == F.col("_end")
     in_order = (
         Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,9 +117,19 @@ def mix(measured: DataFrame) -> DataFrame:
     )
     both = settled.unionByName(cutoff.drop("_sum"))
     taken = F.col("size") * (F.col("_epochs") + F.col("_extra").cast("int"))
-    return both.withColumn("copies", F.least(F.col("_epochs") + F.col("_extra").cast("int"), F.lit(MOST_EPOCHS)).cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", F.least(taken, MOST_EPOCHS * F.col("size")).cast("long").alias("taken"), "copies"
-    )
+    copies = F.least(F.col("_epochs") + F.col("_extra").cast("int"), F.lit(MOST_EPOCHS)).cast("int")
+    return both.select(
+        "doc_id", "source", "size", "source_size", "target", F.least(taken, MOST_EPOCHS * F.col("size")).cast("long").alias("taken"),
+        copies.alias("copies"), *(c for c in ("_row", "th") if c in measured.columns),
+    )
+
+
+def draw(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns."""
+    rows = numbered(docs, text)
+    mixed = cut(mix(cut(measure(rows, key, text, source), "sizes")).where("copies > 0").select("_row", "th", "copies"), "mixed")
+    taken = rows.join(mixed, ["_row", "th"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

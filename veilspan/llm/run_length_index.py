@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import bitmap, in_bitmap, map_batches, table
+from veilspan.llm.common import map_batches, maybe_in, table
 from veilspan.llm.scratch import cut, shuffle_partitions
 
 WIDTH = 400
@@ -175,17 +175,6 @@ def _scanned(width: int, anchor: int):
     return run
 
 
-def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose th may be among the wanted ones; others do not leave their task."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "th"))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy())))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
 def _cut_out(width: int):
     """Bytes of the asked pieces of each text."""
 
@@ -264,7 +253,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     crowded = contents.where("mixed").groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > few).select("anchor", F.lit(True).alias("crowded"))
     bodies = cut(
         map_batches(
-            _likely(texts.select("_body", "_row", "th"), asked).join(asked, ["_row", "th"]).select("_body", "asked"),
+            maybe_in(texts.select("_body", "_row", "th"), asked).join(asked, ["_row", "th"]).select("_body", "asked"),
             _cut_out(width), "anchor bigint, content bigint, body binary",
         ).join(crowded, "anchor", "left"),
         "bodies",
@@ -290,7 +279,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     rows = rows.join(copies, "sha", "left").withColumn("whole", F.col("copies").isNotNull() & (F.col("n_bytes") >= width))
     wanted = cut(rows.where("not whole").select("_row", "th").join(spans, "th"), "wanted")
     done = map_batches(
-        _likely(texts.select("_body", "_row", "th"), wanted).join(wanted, ["_row", "th"]).select("_row", "_body", "spans"),
+        maybe_in(texts.select("_body", "_row", "th"), wanted).join(wanted, ["_row", "th"]).select("_row", "_body", "spans"),
         _removed, "_row bigint, cut_bytes bigint, cut_spans bigint, cut_sha string, cut array<struct<a:int,b:int>>",
     )
     return rows.join(done, "_row", "left").select(

@@ -224,8 +224,9 @@ def train(rows: DataFrame) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Add toxicity (0 to 1) to every row."""
+    """Add toxicity (0 to 1) to every row, in place of a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
+    docs = docs.drop("toxicity")
     names, kept = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
