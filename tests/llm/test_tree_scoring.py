@@ -1,0 +1,63 @@
+"""Main text of pages with every kind of part that is not main text."""
+
+from __future__ import annotations
+
+import time
+
+import pytest
+
+from veilspan.llm.tree_scoring import extract, main_text
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head>
+<body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
+<div class="sidebar"><p>Side text, with commas, and more, of it.</p></div><div id=cookie-notice>We use cookies.</div>
+<div id="content"><h2>Big &amp; small</h2><p>First paragraph, which is long,
+  has   commas, and <b>bold</b><i>words</i>.<p>Second one &lt;kept&gt; &eacute;&#x41;&#66;.<ul><li>one<li>two</ul>
+<blockquote>Quoted, by someone.</blockquote><!-- <p>never</p> --><div class="ad">Buy now, please, do.</div>
+<form><p>Name, please: <input name=x></p><button>Go</button></form></div>
+<div class="comments"><p>First comment, what a page, really.</p></div><aside>See also</aside><footer>&copy; all</footer></body></html>"""
+
+
+def test_page():
+    assert main_text(PAGE).split("\n\n") == [
+        "Big & small", "First paragraph, which is long, has commas, and boldwords.", "Second one <kept> éAB.", "one", "two", "Quoted, by someone.",
+    ]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("plain", "plain"), ("<b>x</b> y", "x y"), ("<nav>only menu</nav>", ""),
+        ("<article><p>Hi.</p></article>", "Hi."), ("<article>Hi <br>there<p>you</article>", "Hi there\n\nyou"),
+        ("<article><p>cut <b>off", "cut off"), ("<article><p>a</div></span></p>b</article>", "a\n\nb"),
+        ("<article><p>1 < 2 & 3 > 2</p></article>", "1 < 2 & 3 > 2"), ("<article><p>x<script>never closed <p>y", "x"),
+        ("<article><p title='a>b' class=\"x>y\">in</p></article>", "in"), ("<!-- open <article><p>x</p>", ""),
+        ("<main><header><h1>Head</h1></header><p>Body.</p></main><div><p>Out, of, it, all, the, way.</p></div>", "Head\n\nBody."),
+        ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
+        ("<article><p>t</p><div><a href=x>one link</a> <a href=y>two</a></div></article>", "t"),
+        ("<article><p hidden>h</p><p aria-hidden=true>i</p><p>\xa0v\t</p></article>", "v"),
+    ],
+)
+def test_cases(page, text):
+    assert main_text(page) == text
+
+
+def test_prose_siblings_are_kept():
+    long = "A sentence, with some commas, that goes on for a while and says something of use to readers. " * 2
+    page = f"<body><div><div><p>{long}</p><p>{long}</p></div><p>{long}</p><div><a href=x>{long}</a></div></div></body>"
+    assert main_text(page).count("A sentence") == 6
+
+
+@pytest.mark.parametrize("part", ["<!-- ", "<a ", "<p>", "<b>x", "</p>", "&amp;", "<div>", "<a href='", "<script>"])
+def test_long_pages_take_linear_time(part):
+    began = time.time()
+    main_text(part * (200_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_table(spark):
+    rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, "old"), (None, "v", "<p>é</p>", "old")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = extract(pages).collect()
+    assert [(r["page_id"], r["n_chars"]) for r in got] == [(1, len(main_text(PAGE)))] * 2 + [(2, 0), (None, 1)]
+    assert got[3]["text"] == "é" and extract(pages.limit(0)).count() == 0
