@@ -44,7 +44,9 @@ class Rule:
 
     ``gate`` names a cheap test shared by several rules.  The core of a numeric
     rule is the part of it that lies within one NUMBER_RUN and is looked for in
-    those runs only.  Both hold for every text the rule can match, so rows
+    those runs only.  ``skip`` matches where the pattern failed and would fail
+    again at each of the next characters, so that a long run of them is not
+    searched from every one; every match holds ``mark`` and no skipped piece does.  Gate and core hold for every text the rule can match, so rows
     failing one of them skip the rule.  Rules with ``stems`` share one pass:
     see KEYWORD_PATTERN.
     """
@@ -55,6 +57,13 @@ class Rule:
     gate: str
     core: str | None = None
     stems: tuple[str, ...] = ()
+    skip: str | None = None
+    mark: str | None = None
+
+    @property
+    def scanned(self) -> str:
+        """The pattern, or else what may be passed over whole, because no match starts inside it."""
+        return f"(?:{self.pattern})|{self.skip}" if self.skip else self.pattern
 
 
 # Shape of a domain: without one, long runs of address characters are not tried.
@@ -72,6 +81,7 @@ def _rules() -> tuple[Rule, ...]:
     phone_core = (
         rf"[489]{DIGIT}{{2}}\)?{DASH}{DIGIT}{{3}}{DASH}{DIGIT}{{2}}{DASH}{DIGIT}{{2}}"
     )
+    local_start = rf"(?:(?=[A-Za-z0-9_]){LEFT}|(?=[.%+\-])(?<={WORD}))"
     address_marks = [r"г\.", "город", r"ул\.", "улица", r"пр\.", "проспект", r"д\.", "дом"]
     # --- fixed values: category order, keyword stems, number layouts ------
     table = [
@@ -88,9 +98,13 @@ def _rules() -> tuple[Rule, ...]:
         ),
         (
             "email",
-            rf"(?:(?=[A-Za-z0-9_]){LEFT}|(?=[.%+\-])(?<={WORD}))"
-            rf"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Z|a-z]{{2,}}{EDGE}",
+            rf"{local_start}[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Z|a-z]{{2,}}{EDGE}",
             "at_sign",
+            None,
+            (),
+            # What follows a run decides, wherever in it a match would start.
+            rf"{local_start}[A-Za-z0-9._%+\-]{{64,}}+",
+            "@",
         ),
         (
             "passport",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -57,6 +57,9 @@ def html_text(html: str) -> str:
 
     Every run of markup between two text nodes becomes one line feed; a run at
     either end joins nothing and leaves none.
+
+    A comment that never ends and a tag that never ends stay text.  Their openings are hidden
+    first, so that the pattern does not search the rest of the page from each of them.
     """
     inner = (
         f"case when startswith(t, '\\n') and not startswith({html}, '\\n') "
@@ -68,42 +71,87 @@ def html_text(html: str) -> str:
         f"case when endswith(u, '\\n') and not endswith({html}, '\\n') "
         "then left(u, char_length(u) - 1) else u end",
     )
-    stripped = let("t", f"regexp_replace({html}, {quoted(_MARKUP)}, '\\n')", trimmed)
+    shown = f"translate(regexp_replace(m, {quoted(_MARKUP)}, '\\n'), '{_HIDDEN}', '<')"
+    stripped = let("t", let("m", let("c", _hidden(html, "-->", "<!--", f"{_HIDDEN}!--"), _hidden("c", ">", "<", _HIDDEN)), shown), trimmed)
     return let("h", stripped, decode_entities("h"))
 
 
+# A code point that no text holds: it is set aside for a program's own use.
+_HIDDEN = "\ufdd0"
+
+
+def _hidden(text: str, end: str, opening: str, instead: str) -> str:
+    """The text with each ``opening`` after the last ``end`` replaced."""
+    tail = f"substring_index({text}, '{end}', -1)"
+    return let(
+        "tail",
+        tail,
+        f"concat(left({text}, char_length({text}) - char_length(tail)), replace(tail, '{opening}', '{instead}'))",
+    )
+
+
+# --- fixed values: what HTML reads numbers of the Windows-1252 range as ----
+_C1_NUMBERS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+# Names that count without a semicolon; the longest is tried first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_NAMED = {n.rstrip(";"): c for n, c in html5.items()}
+
+
 def decode_entities(text: str) -> str:
-    """Replace named (HTML 4) and numeric character references.
+    """Replace HTML 5 character references, named and numeric of any length.
 
     The text is cut at ampersands and each piece is looked up once, so an
-    escaped ampersand cannot start a second reference.
+    escaped ampersand cannot start a second reference.  As in browsers, numbers
+    need no semicolon, nor do the names of HTML 4; numbers that stand for no
+    character give U+FFFD or, for control characters, nothing.
     """
-    named = sorted(name2codepoint.items())
-    names = " ".join(n for n, _ in named)
-    codes = " ".join(f"{c:08x}" for _, c in named)
-    lookup = f"map_from_arrays(split('{names}', ' '), split('{codes}', ' '))"
-    code = (
-        "case when rlike(r, '^#[0-9]{1,7}$') then lpad(hex(cast(substr(r, 2) as bigint)), 8, '0') "
-        "when rlike(r, '^#[xX][0-9a-fA-F]{1,6}$') then lpad(substr(r, 3), 8, '0') "
-        f"else try_element_at({lookup}, r) end"
+    names = sorted(_NAMED)
+    codes = " ".join("-".join(f"{ord(c):x}" for c in _NAMED[n]) for n in names)
+    lookup = f"map_from_arrays(split('{' '.join(names)}', ' '), split('{codes}', ' '))"
+    c1 = " ".join(f"{ord(c):x}" for c in _C1_NUMBERS.values())
+    # Digits without leading zeros; more than seven are beyond the last code point.
+    value = (
+        "case when digits = '' then 0 when char_length(digits) > 7 then 1114112 "
+        "when hexadecimal then cast(conv(digits, 16, 10) as bigint) else cast(digits as bigint) end"
+    )
+    surrogate = "n = 0 or n > 1114111 or n between 55296 and 57343"
+    control = (
+        "n between 1 and 8 or n between 14 and 31 or n between 127 and 159 or n = 11 "
+        "or n between 64976 and 65007 or n % 65536 >= 65534"
     )
-    # Surrogates and values beyond the last code point stay as written.
-    char = (
-        "case when c is null or c between '0000d800' and '0000dfff' or c > '0010ffff' "
-        "or c = '00000000' then null else decode(unhex(c), 'UTF-32') end"
+    number = let(
+        "n",
+        value,
+        f"case when {surrogate} then 'fffd' when n = 13 then 'd' "
+        f"when n between 128 and 159 then element_at(split('{c1}', ' '), cast(n - 127 as int)) "
+        f"when {control} then '' else lower(hex(n)) end",
     )
-    reference = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)"
-    resolved = let("r", reference, let("c", f"lower({code})", char))
+    digits = "regexp_extract(r, '^#[xX]?0*([0-9a-fA-F]*)', 1)"
+    numeric = let("digits", digits, let("hexadecimal", "rlike(r, '^#[xX]')", number))
+    code = f"case when startswith(r, '#') then {numeric} else try_element_at({lookup}, rtrim(';', r)) end"
+    bytes_of = "transform(filter(split(c, '-'), x -> x <> ''), x -> decode(unhex(lpad(x, 8, '0')), 'UTF-32'))"
+    char = f"case when c is null then null else array_join({bytes_of}, '') end"
+    whole = f"regexp_extract(p, {quoted(_REFERENCE)}, 0)"
+    known = f"startswith(w, '#') or try_element_at({lookup}, rtrim(';', w)) is not null"
+    reference = let("w", whole, f"case when {known} then w else regexp_extract(p, '^(?:{'|'.join(_BARE)})', 0) end")
     piece = let(
-        "e",
-        resolved,
-        "case when i = 0 then p when e is null then concat('&', p) "
-        "else concat(e, substr(p, instr(p, ';') + 1)) end",
+        "r",
+        f"case when i = 0 then '' else {reference} end",
+        let(
+            "e",
+            let("c", f"case when r = '' then null else {code} end", char),
+            "case when i = 0 then p when e is null then concat('&', p) "
+            "else concat(e, substr(p, char_length(r) + 1)) end",
+        ),
     )
     decoded = f"array_join(transform(split({text}, '&'), (p, i) -> {piece}), '')"
     return f"case when contains({text}, '&') then {decoded} else {text} end"
 
 
+# A name that is not known with its semicolon may still begin with one that needs none.
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+
+
 def row_text(df: DataFrame, columns: list[str] | None = None) -> str:
     """One table row as text: cells in column order, blanks between, nulls skipped.
 

@@ -52,7 +52,14 @@ def _candidates(rule: Rule) -> str:
     if rule.stems:
         own = f"^(?iu:{'|'.join(rule.stems)})"
         return f"filter(_keywords, k -> rlike(k, {quoted(own)}))"
-    return _extract(rule.gate, rule.pattern, rule.core)
+    if rule.skip:
+        return f"filter({_pieces(rule)}, v -> contains(v, '{rule.mark}'))"
+    return _pieces(rule)
+
+
+def _pieces(rule: Rule) -> str:
+    """The matches, and between them what was passed over."""
+    return _extract(rule.gate, rule.scanned, rule.core)
 
 
 def _gated(df: DataFrame, keep: list[str], text: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -85,14 +92,16 @@ def findings(
     """
     rules = select_rules(categories)
     lists = _gated(df, keep, text, rules).selectExpr(
-        *keep, "_text", *[f"{_candidates(r)} as _v{r.ordinal}" for r in rules]
+        *keep,
+        "_text",
+        *[f"{_pieces(r) if with_offsets and r.skip else _candidates(r)} as _v{r.ordinal}" for r in rules],
     )
 
     def hit(rule: Rule) -> str:
         values = f"_v{rule.ordinal}"
         fields = f"{rule.ordinal} as ordinal, {values} as values"
         if with_offsets:
-            gaps = f"transform(split(_text, {quoted(rule.pattern)}, -1), g -> char_length(g))"
+            gaps = f"transform(split(_text, {quoted(rule.scanned)}, -1), g -> char_length(g))"
             fields += f", case when size({values}) > 0 then {gaps} end as gaps"
         return f"struct({fields})"
 
@@ -116,6 +125,8 @@ def findings(
         f"element_at(array({names}), hit.ordinal + 1) as category",
         f"explode_outer({items}) as item",
     ).where("item.value is not null")
+    for rule in (r for r in rules if r.skip and with_offsets):
+        per_match = per_match.where(f"ordinal <> {rule.ordinal} or contains(item.value, '{rule.mark}')")
     flat = per_match.selectExpr(*keep, "ordinal", "category", "item.*")
     if validate:
         flat = flat.where(checks.value_ok("category", "value"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspan.functions.patterns import SPACE
+from veilspan.functions.sqltext import quoted
+
 # --- fixed values: file families, first match wins ------------------------
 FAMILIES = [
     ("pdf", [".pdf"]),
@@ -61,10 +64,15 @@ def status(family_column: str, text: str) -> str:
         f"case when {family_column} is null then 'unsupported' "
         f"when {family_column} not in ({', '.join(repr(f) for f in EXTRACTED)}) "
         "then 'skipped_media' "
-        f"when {text} is null or not rlike({text}, '\\\\S') then 'blank' else 'ok' end"
+        f"when not coalesce({visible(text)}, false) then 'blank' else 'ok' end"
     )
 
 
+def visible(text: str) -> str:
+    """Whether a text holds anything but white space, of any kind that Unicode knows."""
+    return f"rlike({text}, {quoted(f'[^{SPACE}]')})"
+
+
 def with_metadata(df: DataFrame) -> DataFrame:
     """Add name and format to rows with a path."""
     named = df.selectExpr("*", f"{base_name('path')} as name")
