@@ -6,10 +6,12 @@ all documents; here shingles seen often come last, so prefixes are selective.
 
 1. Documents with equal sets are one node; nodes with identical prefixes and size are one group.
 2. Groups that share a prefix shingle are candidate pairs, filtered by size.  A shingle with more
-   than FEW groups is not expanded: its groups are paired with one leader only.
+   than FEW groups is crowded and not expanded.
 3. The leaders of paired groups and the members of a group are verified on their texts, which
    gives first components.
-4. Every remaining candidate pair, be it of a crowded shingle or of members of groups, whose ends
+4. In some rounds each member of a crowded shingle is verified with a few others of other
+   components, which joins the members of a large group of copies with few pairs.
+5. Every remaining candidate pair, be it of a crowded shingle or of members of groups, whose ends
    still lie in different components is verified; pairs inside one component cannot change it.
 
 So no link between different texts is lost and no group is expanded into all its pairs.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
@@ -35,7 +37,9 @@ from veilspan.llm.scratch import cut, shuffle_partitions
 SHINGLE = 5
 PERCENT = 75
 FEW = 24
-OFTEN = 4  # times within a block of shingles
+OFTEN = 2  # times within a block of shingles
+ROUNDS, PARTNERS, SHARE = 4, 3, 512
+APART = f"root <> root2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
 BLOCK = 1 << 22
 MOST_FREQUENT = 1 << 23
 _U = np.uint64
@@ -135,7 +139,7 @@ def prefixes(h: np.ndarray, rows: np.ndarray, counts: np.ndarray, bits: np.ndarr
     return rows, h, groups
 
 
-def _postings(shared, buckets: int):
+def _postings(shared, buckets: int, few: int):
     """Blocks of (shingle, group, size), dealt to buckets by the shingle; one row per bucket and block.
 
     A group or node that a block has seen is not posted again; of a shingle with more than FEW
@@ -153,7 +157,7 @@ def _postings(shared, buckets: int):
             t, g, n = t[order], g[order], n[order]
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             many = np.diff(np.concatenate([start, [len(t)]]))
-            crowded = np.repeat(many > FEW, many)
+            crowded = np.repeat(many > few, many)
             lead = np.zeros(len(t), bool)
             lead[start] = True
             yield _rows(((g[crowded].view(np.uint64) ^ t[crowded]) % _U(buckets)), t[crowded], g[crowded], -n[crowded])
@@ -212,7 +216,7 @@ def _rows(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa
     )
 
 
-def _paired(found: pa.Table) -> pa.Table:
+def _paired(found: pa.Table, few: int) -> pa.Table:
     """Of one bucket: candidate pairs of groups (kind 0), groups of crowded shingles (1) and nodes (2)."""
     single = found.filter(pc.is_valid(found.column("x")))
     x, y, z = (single.column(c).to_numpy() for c in "xyz")
@@ -227,11 +231,11 @@ def _paired(found: pa.Table) -> pa.Table:
     crowd, n = n < 0, np.abs(n)
     start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
     many = np.diff(np.concatenate([start, [len(t)]]))
-    crowded = np.repeat((many > FEW) | np.logical_or.reduceat(crowd, start), many) if len(t) else np.empty(0, bool)
+    crowded = np.repeat((many > few) | np.logical_or.reduceat(crowd, start), many) if len(t) else np.empty(0, bool)
     pairs = []
     index, left = np.arange(len(t)), np.repeat(start + many, many)
     open_ = ~crowded
-    for step in range(1, min(FEW, int(many.max(initial=1)))):
+    for step in range(1, min(few, int(many.max(initial=1)))):
         a = index[open_ & (index + step < left)]
         b = a + step
         small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
@@ -282,9 +286,31 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint")
 
 
-def _texts(docs: DataFrame, text: str, measured: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each node of the pairs, by the row that stands for the node."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _unsettled(spots: DataFrame, roots: DataFrame) -> DataFrame:
+    """(t, node, n, root) of the crowded shingles whose nodes lie in different components."""
+    placed = spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = placed.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
+    return placed.join(ends, "t").select("t", "node", "n", "root")
+
+
+def _neighbours(spots: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each node with the PARTNERS next ones of its shingle, in an order of this turn.
+
+    A large shingle is first cut into shares of about SHARE nodes, so no task gets it whole.
+    """
+    shares = spots.groupBy("t").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    salted = spots.join(shares, "t").withColumn("share", F.pmod(F.xxhash64("node", F.lit(turn)), "shares"))
+    order = Window.partitionBy("t", "share").orderBy(F.xxhash64(F.lit(turn), "node"))
+    one = F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    after = [f"p{k}" for k in range(1, PARTNERS + 1)]
+    ahead = salted.withColumns({name: F.lead(one, k).over(order) for k, name in enumerate(after, 1)})
+    beside = ahead.select("node", "n", "root", F.explode(F.array(*after)).alias("p")).select("node", "n", "root", "p.*")
+    return _ordered(beside.where(APART).select(F.col("node").alias("a"), F.col("node2").alias("b")))
+
+
+def _texts(docs: DataFrame, text: str, measured: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text for each wanted node, by the row that stands for the node."""
+    ends = wanted.toDF("node").distinct()
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
     bodies = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row")).withColumn("th", F.xxhash64("text"))
     stands = cut(stands, "stands")
@@ -295,7 +321,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """One row per document: the key, n_shingles, component_id (least key of its component), _row and th."""
     spark = docs.sparkSession
     bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"))
@@ -307,56 +333,60 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     measured = scanned.where("often is null").drop("often")
     shared = spark.sparkContext.broadcast(_bitmap(scanned.where("often is not null").select(F.col("node").alias("h"), "often")))
     found = cut(
-        bodies.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark)), _POSTED_SQL)
-        .groupBy("bucket").applyInArrow(_paired, "kind int, x bigint, y bigint, z bigint"),
+        bodies.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark), few), _POSTED_SQL)
+        .groupBy("bucket").applyInArrow(lambda found: _paired(found, few), "kind int, x bigint, y bigint, z bigint"),
         "candidates",
     )
     nodes = cut(found.where("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "nodes")
     group_pairs = found.where("kind = 0").select(F.col("x").alias("g"), F.col("y").alias("g2")).distinct()
     crowded = cut(found.where("kind = 1").select(F.col("x").alias("t"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "crowded")
-    # Round 1: leaders of paired groups, members with their leader, groups of a crowded shingle with one of them.
+    # First links: leaders of paired groups, and members with their leader.
     groups = cut(nodes.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("members")), "groups")
     leader_of = groups.select(F.col("g").alias("g2"), F.col("leader").alias("b"))
-    by_shingle = crowded.groupBy("t").agg(F.min(F.struct("g", "n")).alias("m")).select("t", F.col("m.g").alias("g2"), F.col("m.n").alias("n2"))
-    stars = crowded.join(by_shingle, "t").where(f"g <> g2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)")
     first = cut(
         _ordered(
-            group_pairs.union(stars.select("g", "g2")).distinct()
-            .join(groups.select("g", F.col("leader").alias("a")), "g").join(leader_of, "g2").select("a", "b")
+            group_pairs.join(groups.select("g", F.col("leader").alias("a")), "g").join(leader_of, "g2").select("a", "b")
             .union(nodes.join(groups.where("members > 1"), "g").select(F.col("leader").alias("a"), F.col("node").alias("b")))
         ),
         "first",
     )
-    links = cut(_verify(first, _texts(docs, text, measured, first)), "links")
-    roots = cut(components(links), "roots")
-    # Round 2: what could still join different components.
-    placed = cut(
-        nodes.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "placed"
-    )
+    spots = cut(crowded.select("t", "g").join(nodes, "g").select("t", "node", "n"), "spots")
+    texts = _texts(docs, text, measured, first.select("a").union(first.select("b")).union(spots.select("node")))
+    roots = cut(components(_verify(first, texts)), "roots")
+    # Crowded shingles: a few partners for each member, anew in each round, until nothing joins.
+    tried = first
+    for turn in range(ROUNDS):
+        open_spots = cut(_unsettled(spots, roots), "open")
+        pairs = cut(_neighbours(open_spots, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
+        more = cut(_verify(pairs, texts), "links")
+        if more.isEmpty():
+            break
+        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+        tried = tried.union(pairs)
+    # Whatever could still join different components, without exception.
+    placed = cut(nodes.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
     other = placed.toDF("g2", "n2", "node2", "root2")
-    apart = f"root <> root2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
     mixed = placed.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members"))
     inside = placed.join(mixed.where("r1 <> r2").select("g"), "g").join(other, F.col("g") == F.col("g2")).where("node < node2")
     large = mixed.where("members > 1").select("g")
     between = group_pairs.join(large, "g", "left_semi").union(
         group_pairs.join(large.withColumnRenamed("g", "g2"), "g2", "left_semi").select("g", "g2")
     ).distinct().join(placed, "g").join(other, "g2")
-    spots = crowded.select("t", "g").join(placed, "g")
-    unsettled = spots.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
-    spots = spots.join(unsettled, "t")
-    crossing = spots.select("t", "node", "n", "root").join(
-        spots.select("t", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2")), "t"
+    open_spots = cut(_unsettled(spots, roots), "open")
+    crossing = open_spots.join(
+        open_spots.select("t", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2")), "t"
     ).where("node < node2")
-    second = cut(
+    last = cut(
         _ordered(
-            inside.where(apart).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-            .union(between.where(apart).select("node", "node2"))
-            .union(crossing.where(apart).select("node", "node2"))
-        ).join(first, ["a", "b"], "left_anti"),
-        "second",
+            inside.where(APART).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+            .union(between.where(APART).select("node", "node2"))
+            .union(crossing.where(APART).select("node", "node2"))
+        ).join(tried, ["a", "b"], "left_anti"),
+        "last",
     )
-    if not second.isEmpty():
-        more = cut(_verify(second, _texts(docs, text, measured, second)), "links")
+    if not last.isEmpty():
+        texts = _texts(docs, text, measured, last.select(F.col("a").alias("node")).union(last.select("b")))
+        more = _verify(last, texts)
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     ids = (
         measured.where("n_shingles > 0").join(numbered.select("_row", "_key"), "_row")
