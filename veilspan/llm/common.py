@@ -100,3 +100,19 @@ def without(docs: DataFrame, text: str, gone: DataFrame) -> DataFrame:
     stay = maybe_in(rows, gone, inverse=True)
     doubt = maybe_in(rows, gone).join(gone, ["_row", "th"], "left_anti")
     return stay.select(*columns).unionByName(doubt.select(*columns))
+
+
+def label_sample(labels: DataFrame, key: str, label: str, most: int, balanced: bool) -> DataFrame:
+    """About ``most`` labelled keys chosen by a hash of the key, 2 * most at the very most.
+
+    The bound makes it safe to broadcast the result, so that texts are not shuffled to find their
+    labels.  With balanced, each label gets an equal part.
+    """
+    known = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
+    counts = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}  # a few labels
+    if not counts:
+        return known
+    total = sum(counts.values())
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, most / len(counts) / n if balanced else most / total)))
+    drawn = (F.xxhash64(F.col(key)) / F.lit(2.0**64)) + 0.5
+    return known.where(drawn < share[F.col(label)]).limit(2 * most)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import map_batches, table
+from veilspan.llm.common import label_sample, map_batches, table
 from veilspan.llm.scratch import cut
 
 MOST_DOCUMENTS = 6000
@@ -296,5 +296,5 @@ _MEASURES_SQL = (
 
 def op3_line_crf(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
-    return judge(docs, train(docs.join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "quality")))
+    labels = label_sample(table(spark, sf_dir, "labels"), "doc_id", "quality", MOST_DOCUMENTS, balanced=True)
+    return judge(docs, train(docs.join(F.broadcast(labels), "doc_id").select(F.col("doc_id").alias("key"), "text", "quality")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import crc_bucket, table
+from veilspan.llm.common import crc_bucket, label_sample, table
 from veilspan.llm.scratch import cut
 
 MOST_ROWS = 20_000
@@ -242,9 +242,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
 def trained_on(spark, sf_dir: str, docs: DataFrame) -> ToxicityModel:
     """From the labels of rows that are not held out."""
-    learn = docs.where(crc_bucket(F.col("doc_id"), 4) != 2).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("bigint").alias("toxic"))
-    return train(learn.join(labels.where("toxic is not null").distinct(), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
+    learn = label_sample(labels.where(crc_bucket(F.col("doc_id"), 4) != 2), "doc_id", "toxic", MOST_ROWS, balanced=False)
+    return train(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
 
 
 def op5_weak_toxicity(spark, sf_dir: str) -> DataFrame:
