@@ -242,7 +242,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     )
     found = cut(texts.select("_body", "th").mapInArrow(_scanned(width, anchor), "anchor bigint, content bigint, th bigint, a int, b int").distinct(), "pieces")
     repeated = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("n > 1")
-    places = cut(found.join(repeated.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "anchor"), "places")
+    # Written first, so that the join is a plain one, of which a hot anchor's part can be split.
+    repeated = cut(repeated.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "repeated")
+    places = cut(found.join(repeated, "anchor"), "places")
     contents = cut(
         places.groupBy("anchor", "content", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("th", "a", "b")).alias("p")), "contents"
     )
