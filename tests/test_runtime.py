@@ -5,7 +5,7 @@ from __future__ import annotations
 from veilspan.operators import compare
 from veilspan.operators.profile import FILE_COLUMNS, profile_files, profile_rows
 from veilspan.plans import corpus
-from veilspan.plans.runtime import scratch_path, spread
+from veilspan.plans.runtime import SPREAD, scratch_path, spread
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,15 +14,14 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_only_small_inputs(spark):
-    docs = corpus.table(spark, FOLDER, "documents")
-    assert spread(docs, "doc_id").rdd.getNumPartitions() == 24
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+def test_text_is_dealt_out_only_on_request(spark):
+    assert "Exchange" not in _plan(corpus.documents(spark, FOLDER))
+    assert "Exchange" not in _plan(corpus.pages(spark, FOLDER))
+    spark.conf.set(SPREAD, "24")
     try:
-        assert "REPARTITION" not in _plan(spread(docs, "doc_id"))
+        assert spread(corpus.table(spark, FOLDER, "documents"), "doc_id").rdd.getNumPartitions() == 24
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset(SPREAD)
 
 
 def test_scratch_is_below_the_shared_folder(spark):

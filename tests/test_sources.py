@@ -3,43 +3,33 @@
 from __future__ import annotations
 
 import json
+from html import unescape
+from pathlib import Path
 
 import pytest
-from test_detect import EMPLOYEE
+from test_detect import ORDER
 
 from veilspan.functions.text import decode_entities, decode_text, html_text, row_text
-from veilspan.operators.levels import LEVEL_4
-from veilspan.operators.profile import profile_rows
+from veilspan.operators.levels import LEVEL_2, LEVEL_4
 from veilspan.plans.scan import scan_directory, scan_findings, scan_status, write_reports
-from veilspan.sources.directory import table_rows, whole_files
+from veilspan.sources.directory import table_rows
 from veilspan.sources.listing import family, list_files, suffix, suffix_group
 from veilspan.sources.reports import read_detailed, read_summary
-from veilspan.sources.tables import csv_rows, csv_table, json_records, json_table
+from veilspan.sources.tables import csv_rows, csv_table, json_records, json_table, json_texts
 from veilspan.streaming.incremental import scan_new_files
 
-CLIENTS = (
-    "name,phone,email,inn\n"
-    "Иванов Иван Иванович,+79161234567,ivanov@mail.ru,123456789012\n"
-    "Сидорова Мария Александровна,+79267654321,sidorova@gmail.com,987654321098\n"
-    "Козлов Дмитрий Сергеевич,+79031112233,kozlov@yandex.ru,456789123456\n"
+COURIERS = (
+    "id;note,who,mail,number\n"
+    '1,"Громов Пётр Львович, старший",gromov@post.example,+7 (901) 245-60-13\n'
+    '2,"Лебедева\nАнна",leb_a@post.example,8 912 700 81 22\n'
+    "3,,,044525974\n"
 )
-USERS = {
-    "users": [
-        {
-            "name": "Смирнов Алексей Викторович",
-            "phone": "+7 (495) 123-45-67",
-            "email": "smirnov@example.com",
-            "passport": "4567 123456",
-            "snils": "123-456-789-01",
-        },
-        {
-            "name": "Новикова Елена Игоревна",
-            "phone": "+7 (812) 987-65-43",
-            "email": "novikova@example.com",
-            "passport": "6789 654321",
-            "snils": "987-654-321-09",
-        },
-    ]
+ORDERS = {
+    "batch": 17,
+    "orders": [
+        {"to": "Журавлёва Инна", "card": "4539148803436467", "paid": True},
+        {"to": "Зимин Олег", "card": None, "licence": "77 15 640213"},
+    ],
 }
 
 
@@ -48,12 +38,16 @@ def folder(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("files")
     deep = root / "a b" / "c+d"
     deep.mkdir(parents=True)
-    (root / "employee.txt").write_text(EMPLOYEE, encoding="utf-8")
+    (root / "order.txt").write_text(ORDER, encoding="utf-8")
+    (root / "_hidden.txt").write_text("h@site.org")
+    (root / ".git").mkdir()
+    (root / ".git" / "note.md").write_text("g@site.org")
+    (root / "empty.txt").write_text("")
     (deep / "cp1251.MD").write_bytes("ИНН: 500100732259\r\nПриём".encode("cp1251"))
     (root / "latin.txt").write_bytes(b"\x98 caf\xe9 user@site.org")
-    (root / "clients.csv").write_text(CLIENTS, encoding="utf-8")
+    (root / "couriers.csv").write_text(COURIERS, encoding="utf-8")
     (root / "other.CSV").write_bytes("город;x\n\"Орлов, Пётр\",\"2\"\"3\"\n".encode("cp1251"))
-    (root / "users.json").write_text(json.dumps(USERS, ensure_ascii=False, indent=2), "utf-8")
+    (root / "orders.json").write_text(json.dumps(ORDERS, ensure_ascii=False, indent=2), "utf-8")
     (root / "lines.json").write_text('{"mail": "a1@site.org", "n": 7}\n{"mail": "b2@site.org"}\n')
     (root / "broken.json").write_text("{not json a@site.org")
     (root / "page.HTM").write_bytes(b"<html><script>x@site.org</script><p>me&#64;site.org</p>\xff</html>")
@@ -76,7 +70,7 @@ def _by_name(df, *columns):
 
 def test_listing(spark, folder):
     files = _by_name(list_files(spark, folder), "format", "size", "path")
-    assert len(files) == 15
+    assert len(files) == 18 and {"_hidden.txt", "note.md", "empty.txt"} <= set(files)
     assert files["cp1251.MD"][0] == ".MD"
     assert files["cp1251.MD"][2].endswith("/a b/c+d/cp1251.MD")
     assert files["latin.txt"][1] == 20
@@ -94,31 +88,33 @@ def test_suffix_and_families(spark):
 def test_status(spark, folder):
     got = {n: s for n, (s,) in _by_name(scan_status(spark, folder), "status").items()}
     expected = {
-        "blank.txt": "blank", "broken.json": "blank", "photo.JPG": "skipped_media",
+        "blank.txt": "blank", "empty.txt": "blank", "_hidden.txt": "skipped_name", "note.md": "skipped_name", "photo.JPG": "skipped_media",
         "clip.mp4": "skipped_media", "form.pdf": "skipped_media", "notes.rtf": "unsupported",
     }
-    assert got == {n: expected.get(n, "ok") for n in got} and len(got) == 15
+    assert got == {n: expected.get(n, "ok") for n in got} and len(got) == 18
 
 
 def test_directory_scan(spark, folder):
     got = _by_name(scan_directory(spark, folder), "pii_counts", "protection_level")
-    assert got["employee.txt"] == (
+    assert got["order.txt"] == (
         {"fio": 1, "phone": 1, "email": 1, "birth_date": 1, "address": 1}, LEVEL_4,
     )
-    assert got["clients.csv"] == ({"fio": 3, "phone": 3, "email": 3}, LEVEL_4)
-    assert got["users.json"] == (
-        {"fio": 2, "phone": 2, "email": 2, "passport": 2, "driver_license": 2}, LEVEL_4,
+    assert got["couriers.csv"] == ({"fio": 2, "phone": 2, "email": 2, "bik": 1}, LEVEL_2)
+    # The licence also reads as a passport, and the tail of the card as a phone.
+    assert got["orders.json"] == (
+        {"fio": 2, "phone": 1, "passport": 1, "driver_license": 1, "bank_card": 1}, LEVEL_2,
     )
+    assert got["broken.json"][0] == {"email": 1}
     assert got["cp1251.MD"][0] == {"inn": 1}
     assert got["latin.txt"][0] == got["page.HTM"][0] == {"email": 1}
     assert got["lines.json"][0] == {"email": 2}
     assert got["table.parquet"][0] == {"phone": 1, "email": 1}
     assert set(got) == {
-        "employee.txt", "clients.csv", "users.json", "cp1251.MD", "latin.txt", "page.HTM",
-        "lines.json", "table.parquet",
+        "order.txt", "couriers.csv", "orders.json", "cp1251.MD", "latin.txt", "page.HTM",
+        "lines.json", "table.parquet", "broken.json",
     }
-    order = scan_directory(spark, folder).where("name = 'users.json'").first().pii_categories
-    assert order == ["fio", "phone", "email", "passport", "driver_license"]
+    order = scan_directory(spark, folder).where("name = 'orders.json'").first().pii_categories
+    assert order == ["fio", "phone", "passport", "driver_license", "bank_card"]
 
 
 def test_directory_findings(spark, folder):
@@ -144,39 +140,64 @@ def test_parquet_files_with_clashing_types(spark, tmp_path):
     ]
 
 
-def test_overlong_files_are_read_by_line(spark, tmp_path):
-    (tmp_path / "big.txt").write_bytes("a@site.org\r\nИНН 5001007329\n".encode("cp1251") * 50)
-    (tmp_path / "big.json").write_text('{"m":\n"b@site.org"}\n')
-    (tmp_path / "small.txt").write_text("c@x.org")
-    whole = whole_files(spark, str(tmp_path), longest=10)
-    assert [r.name for r in whole.collect()] == ["small.txt"]
-    rows = table_rows(spark, str(tmp_path), longest=10)
-    got = {r.name: r.pii_counts for r in profile_rows(rows).collect()}
-    # Any bare ten-digit number also looks like a licence.
-    assert got == {
-        "big.txt": {"email": 50, "inn": 50, "driver_license": 50},
-        "big.json": {"email": 1},
-    }
+def test_clashing_parquet_files_take_one_plan(spark, tmp_path):
+    def plan_of(n: int) -> int:
+        root = tmp_path / str(n)
+        root.mkdir()
+        for i in range(n):
+            value, kind = ("x", "v string") if i % 2 else (i, "v bigint")
+            spark.createDataFrame([(value,)], kind).toPandas().to_parquet(root / f"{i}.parquet")
+        rows = table_rows(spark, str(root))
+        assert rows.count() == n
+        return rows._jdf.queryExecution().executedPlan().toString().count("Scan")
+
+    assert plan_of(2) == plan_of(12)
+
+
+def test_splits_do_not_change_findings(spark, tmp_path):
+    """Names over line ends, script content and records come out alike however files are split."""
+    filler = "слово ещё слово\n" * 3000
+    (tmp_path / "big.txt").write_text(filler + "Белов\nИлья встретил\nЛосева\nОлега " + filler, "utf-8")
+    (tmp_path / "big.html").write_text("<p>x</p>" * 9000 + "<script>" + "s@site.org;" * 900 + "</script>k@site.org", "utf-8")
+    (tmp_path / "big.json").write_text(json.dumps([{"m": f"u{k}@site.org", "x": "y" * 90} for k in range(900)]))
+    (tmp_path / "big.csv").write_text("".join(f'{k},"Сомов\nПётр"\n' for k in range(900)), "utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("1k", "20k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append(_by_name(scan_directory(spark, str(tmp_path)), "pii_counts", "size"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert {n: c for n, (c, _) in seen[0].items()} == {
+        "big.txt": {"fio": 2}, "big.html": {"email": 1}, "big.json": {"email": 900}, "big.csv": {"fio": 900},
+    }
 
 
 def test_reports_on_disk(spark, folder, tmp_path):
     profile = scan_directory(spark, folder)
     write_reports(profile, str(tmp_path / "s"), str(tmp_path / "d"))
-    assert read_summary(spark, str(tmp_path / "s")).count() == 8
+    assert read_summary(spark, str(tmp_path / "s")).count() == 9
     detailed = {r["имя_файла"]: r for r in read_detailed(spark, str(tmp_path / "d")).collect()}
-    row = detailed["clients.csv"]
-    assert row["количество_находок"] == "fio:3, phone:3, email:3"
-    assert row["категории_ПДн"] == "fio, phone, email" and row["размер"] > 100
+    row = detailed["couriers.csv"]
+    assert row["количество_находок"] == "fio:2, phone:2, email:2, bik:1"
+    assert row["категории_ПДн"] == "fio, phone, email, bik" and row["размер"] > 100
 
 
 def test_csv_rows(spark, folder, tmp_path):
     rows = csv_rows(spark, folder, "*.CSV").collect()
     assert [r.text for r in rows] == ["город;x", 'Орлов, Пётр 2"3']
-    (tmp_path / "w.csv").write_text("a,b\n1,2,3,4\nx\n" + ",".join(["q"] * 1500) + "\n")
-    texts = [r.text for r in csv_rows(spark, str(tmp_path)).collect()]
-    assert texts == ["a b", "1 2 3 4", "x", " ".join(["q"] * 1500)]
-    shared = [r.text for r in csv_table(spark, f"{folder}/clients.csv", ["inn", "name"]).collect()]
-    assert shared[0] == "123456789012 Иванов Иван Иванович"
+    rows = csv_rows(spark, folder, "couriers.csv").collect()
+    assert [r.text for r in rows][2:] == ["2 Лебедева\nАнна leb_a@post.example 8 912 700 81 22", "3 044525974"]
+    wide = ",".join(["q"] * 30_000)
+    body = f'a,b\n1,2,3,004\n"x"\n\n5" pipe,6"\n"un""quoted",\n"two\nlines","z"\n{wide}\n'
+    for i, ending in enumerate(["\n", "\r\n"]):
+        (tmp_path / f"{i}.csv").write_bytes(body.replace("\n", ending).encode())
+        texts = [r.text for r in csv_rows(spark, str(tmp_path / f"{i}.csv")).collect()]
+        assert texts == ["a b", "1 2 3 004", "x", '5" pipe 6"', 'un"quoted', "two\nlines z", wide.replace(",", " ")]
+    shared = [r.text for r in csv_table(spark, f"{folder}/couriers.csv", ["number", "who"]).collect()]
+    assert shared[0] == "+7 (901) 245-60-13 Громов Пётр Львович, старший"
 
 
 def test_json_records(spark, folder, tmp_path):
@@ -184,12 +205,26 @@ def test_json_records(spark, folder, tmp_path):
     assert sorted(texts) == ["a1@site.org 7", "b2@site.org"]
     (tmp_path / "x.json").write_text('[{"a": 1, "b": {"c": "d"}}, 5, {"e": [1, 2], "f": null}]')
     texts = [r.text for r in json_records(spark, str(tmp_path)).collect()]
-    assert sorted(texts) == ['1 {"c":"d"}', "5", "[1,2]"]
+    assert texts == ['1 {"c":"d"}', "5", "[1,2]"]
     (tmp_path / "y.json").write_text('{"phone": 79161234567, "code": "007"}\n')
     table = json_table(spark, f"{tmp_path}/y.json", "code string, phone string")
     assert [r.text for r in table.collect()] == ["007 79161234567"]
 
 
+@pytest.mark.parametrize(
+    ("body", "texts"),
+    [
+        ('[{"p": "1", "p": "2"}]', ["2"]), ('{"a": NaN, "b": -Infinity, "c": 1.50, "d": 007}', ["{\"a\": NaN, \"b\": -Infinity, \"c\": 1.50, \"d\": 007}"]),
+        ('{"a": NaN, "b": 1.50, "c": true}', ["NaN 1.50 true"]), ('\ufeff{"a": "x"}', ["x"]), ("", []), (" \n", []), ("[]", []), ("{}", []),
+        ('{"a": 1}\nbroken a@b.co\n{"a": 2}', ["1", "broken a@b.co", "2"]), ('[{"a": 1},\n{broken},\n{"a": 2}]', ["1", "{broken},", "2"]),
+        ('{"rows": [{"a": 1}, {"a": "é"}], "n": "top"}', ["top", "1", "é"]), ('"text"', ["text"]), ("[[1, 2], null]", ["[1,2]"]), ("[" * 100_000, None),
+    ],
+)
+def test_json_texts(body, texts):
+    got = list(json_texts(body))
+    assert texts is None or got == texts
+
+
 def test_decode_order(spark):
     cases = [
         ("Привет\r\nмир\r!".encode(), "Привет\nмир\n!"),
@@ -225,8 +260,12 @@ def test_entities(spark):
     cases = [
         ("a &amp;lt; b", "a &lt; b"),
         ("&copy;&nbsp;&middot;&quot;&#39;&#x41;&#128512;", "©\xa0·\"'A😀"),
-        ("&unknown; &; & &#xD800; &#0; AT&T", "&unknown; &; & &#xD800; &#0; AT&T"),
-    ]
+        ("&unknown; &; & &#xD800; &#0; AT&T", "&unknown; &; & \ufffd \ufffd AT&T"),
+        *((t, unescape(t)) for t in (
+            "&apos;", "&amp x", "&#0000000064;", "&#64 &#x40z", "&notit; &notin;", "&#128;&#x9f;&#1;&#11;&#13;",
+            "&#99999999999;&#xFFFE;", "&acE;", "&#;&#x;&#xg;", "&copy2024 &ampx",
+        )),
+    ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     got = [r.x for r in df.selectExpr("i", f"{decode_entities('t')} as x").orderBy("i").collect()]
     assert got == [c[1] for c in cases]
@@ -238,16 +277,16 @@ def test_row_text(spark):
     assert df.selectExpr(f"{row_text(df, ['e', 'a'])} as t").first().t == "я 7"
 
 
-def test_stream_gives_the_batch_result_once(spark, tmp_path):
+def test_stream_gives_the_batch_result_once(spark, folder, tmp_path):
     root, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     root.mkdir()
     (root / "a.txt").write_text("a@site.org")
     scan_new_files(spark, str(root), out, mark).awaitTermination()
-    (root / "b.html").write_text("<p>b@site.org</p>")
+    for name in ("page.HTM", "couriers.csv", "orders.json", "lines.json", "table.parquet", "order.txt"):
+        (root / name).write_bytes((Path(folder) / name).read_bytes())
     (root / "c.txt").write_text("nothing")
-    scan_new_files(spark, str(root), out, mark).awaitTermination()
-    got = spark.read.parquet(out)
-    assert sorted(r.name for r in got.collect()) == ["a.txt", "b.html"]
-    assert sorted(map(str, got.collect())) == sorted(
-        map(str, scan_directory(spark, str(root)).collect())
-    )
+    (root / "long.txt").write_text("слово\n" * 50_000 + "z@site.org", "utf-8")
+    scan_new_files(spark, str(root), out, mark, files_a_batch=4).awaitTermination()
+    got = spark.read.parquet(out).drop("batch")
+    assert sorted(map(str, got.collect())) == sorted(map(str, scan_directory(spark, str(root)).collect()))
+    assert got.count() == 8

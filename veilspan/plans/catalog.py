@@ -38,6 +38,7 @@ ROTATED_SUFFIXES = [
     ".pdf", ".docx", ".png", ".mp4", ".xlsx", "",
 ]
 BLANK_PERIOD = 37
+BLANK = " \\n\u00a0\u2003 "  # white space of every kind
 CP1251_GREETING = "CFF0E8E2E5F22C20ECE8F021"  # "Привет, мир!" in cp1251
 UNDEFINED_PREFIX = "98CFF0"  # a byte cp1251 lacks: the whole text becomes Latin-1
 
@@ -65,14 +66,15 @@ def _rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "concat('documents/', doc_id, "
         f"element_at(array({listed}), cast(doc_id % {len(ROTATED_SUFFIXES)} as int) + 1)) as path",
-        f"case when doc_id % {BLANK_PERIOD} = 0 then ' \\n ' else text end as text",
+        f"case when doc_id % {BLANK_PERIOD} = 0 then '{BLANK}' else text end as text",
     )
     return rows.selectExpr("doc_id", "path", "text", f"{family('path')} as family")
 
 
 # --- A: sources -------------------------------------------------------------
 def src_listing(spark, sf_dir):
-    return list_files(spark, sf_dir).select("name", "size", "format")
+    """Files of the data folder; sizes are left to the file system."""
+    return list_files(spark, sf_dir).select("name", "format")
 
 
 def file_metadata(spark, sf_dir):
@@ -84,11 +86,12 @@ def format_router(spark, sf_dir):
 
 
 def decode_query(spark, sf_dir):
-    ascii_text = "encode(regexp_replace(text, '[^\\\\x00-\\\\x7F]', '?'), 'UTF-8')"
+    # Rows of the second and third kind hold the text in Latin-1: as cp1251 reads it, and as it stands.
+    latin = "encode(regexp_replace(text, '[^\\\\x00-\\\\x7F\\\\xA1-\\\\xFF]', '?'), 'ISO-8859-1')"
     content = (
         "case doc_id % 3 when 0 then encode(text, 'UTF-8') "
-        f"when 1 then concat(unhex('{CP1251_GREETING}0D0A'), {ascii_text}) "
-        f"else concat(unhex('{UNDEFINED_PREFIX}0D'), {ascii_text}) end"
+        f"when 1 then concat(unhex('{CP1251_GREETING}0D0A'), {latin}) "
+        f"else concat(unhex('{UNDEFINED_PREFIX}0D'), {latin}) end"
     )
     docs = spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     decoded = docs.selectExpr("doc_id", f"{content} as content").selectExpr(
@@ -100,22 +103,32 @@ def decode_query(spark, sf_dir):
 
 
 def scan_csv(spark, sf_dir):
+    """CSV with commas, quotes and line breaks inside cells, as a directory scan reads it."""
     path = scratch_path(spark, "csv")
-    corpus.identifiers(spark, sf_dir).write.option("header", "true").csv(path)
-    return tables.csv_table(spark, path).select("text")
+    note = "case c_custkey % 3 when 0 then concat('a, \"', c_name, '\"') when 1 then concat(c_name, '\\n', card) end"
+    rows = corpus.identifiers(spark, sf_dir).withColumn("note", F.expr(note))
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    # Every part file begins with its header, which is a row like any other.
+    return tables.csv_rows(spark, path, tables.any_case(".csv")).select("text").where("text not like 'c_custkey %'")
 
 
 def scan_json(spark, sf_dir):
+    """Files of one record a line, of arrays and of an object that holds an array, read as in a scan."""
     path = scratch_path(spark, "json")
     rows = corpus.identifiers(spark, sf_dir)
-    rows.write.json(path)
-    schema = ", ".join(f"{c} string" for c in rows.columns)
-    return tables.json_table(spark, path, schema).select("text")
+    record = F.to_json(F.struct(*rows.columns))
+    parts = rows.select(record.alias("value"), F.pmod("c_custkey", F.lit(30)).alias("k"), "c_custkey")
+    listed = parts.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("value")), ",\n").alias("v"))
+    parts.where("k < 10").select("value").write.format("text").save(f"{path}/lines")
+    listed.where("k between 10 and 19").select(F.format_string("[%s]", "v").alias("value")).write.format("text").save(f"{path}/arrays")
+    listed.where("k > 19").select(F.format_string('{"rows": [%s]}', "v").alias("value")).write.format("text").save(f"{path}/objects")
+    folders = [f"{path}/{x}" for x in ("lines", "arrays", "objects")]
+    return tables.json_records(spark, folders).select("text")
 
 
 def scan_parquet(spark, sf_dir):
-    columns = ["c_custkey", "c_name", "c_mktsegment"]
-    return tables.parquet_rows(spark, f"{sf_dir}/customer.parquet", columns).select("text")
+    """All columns of a table, read as in a scan."""
+    return tables.parquet_rows_any_schema(spark, f"{sf_dir}/customer.parquet", tables.any_case(".parquet")).select("text")
 
 
 def table_to_text(spark, sf_dir):

@@ -10,28 +10,65 @@ out of gaps and values before lengths are counted.
 
 from __future__ import annotations
 
-from veilspan.functions.patterns import CATEGORIES, CONFIGURED_CATEGORIES, SPACE
-from veilspan.operators.levels import (
-    LEVEL_1,
-    LEVEL_2,
-    LEVEL_3,
-    LEVEL_4,
-    NO_LEVEL,
-    PAYMENT,
-    RECOMMENDATIONS,
-    REGULAR,
-    SENSITIVE,
-    SPECIAL,
+from veilspan.plans.corpus import OVERLAY, OVERLAY_PERIOD
+
+# --- fixed values, written out once more so that a slip in the engine's tables shows ---
+CATEGORIES = (
+    "fio", "phone", "email", "passport", "snils", "inn", "driver_license", "bank_card",
+    "bank_account", "bik", "birth_date", "address", "biometric", "health", "special",
+)
+CONFIGURED_CATEGORIES = tuple(c for c in CATEGORIES if c != "bik")
+SPECIAL = ("biometric", "health", "special")
+PAYMENT = ("bank_card", "bank_account", "bik")
+SENSITIVE = ("passport", "snils", "inn", "driver_license", "bank_card", "bank_account", "bik")
+REGULAR = ("fio", "phone", "email", "address", "birth_date")
+LEVEL_1, LEVEL_2, LEVEL_3, LEVEL_4, NO_LEVEL = "УЗ-1", "УЗ-2", "УЗ-3", "УЗ-4", "Нет ПДн"
+RECOMMENDATIONS = (
+    ("УЗ-1", "Highest protection: encrypt, restrict access strictly, audit every operation."),
+    ("УЗ-2", "Strong protection: encrypt, control access, audit regularly."),
+    ("УЗ-3", "Standard protection: control access and apply baseline safeguards."),
+    ("УЗ-4", "Basic protection: limit access and apply baseline safeguards."),
+    ("Нет ПДн", "No personal data was found."),
 )
-from veilspan.plans.catalog import (
-    BLANK_PERIOD,
-    IDENTIFIER_SCAN,
-    PERSONAL_SCAN,
-    ROTATED_SUFFIXES,
+FAMILIES = (
+    ("pdf", (".pdf",)),
+    ("docx", (".docx", ".doc")),
+    ("text", (".txt", ".md")),
+    ("csv", (".csv",)),
+    ("json", (".json",)),
+    ("parquet", (".parquet",)),
+    ("html", (".html", ".htm")),
+    ("image", (".tif", ".tiff", ".jpg", ".jpeg", ".png", ".gif")),
+    ("video", (".mp4", ".avi", ".mov")),
+)
+EXTRACTED = ("text", "csv", "json", "parquet", "html")
+SUFFIX_GROUPS = (
+    ("documents", (".pdf", ".doc", ".docx", ".rtf", ".xls", ".xlsx")),
+    ("structured", (".csv", ".json", ".parquet")),
+    ("images", (".tif", ".tiff", ".jpg", ".jpeg", ".png", ".gif")),
+    ("web", (".html", ".htm")),
+    ("video", (".mp4", ".avi", ".mov")),
+)
+DETAILED_HEADERS = [
+    "путь",
+    "имя_файла",
+    "размер",
+    "время_изменения",
+    "категории_ПДн",
+    "количество_находок",
+    "УЗ",
+    "формат_файла",
+]
+# Suffixes that the fixture gives to documents in turn, every which of them is blank, its two scans.
+ROTATED_SUFFIXES = (".txt", ".MD", ".csv", ".json", ".parquet", ".html", ".pdf", ".docx", ".png", ".mp4", ".xlsx", "")
+BLANK_PERIOD = 37
+IDENTIFIER_SCAN = ("phone", "passport", "snils", "inn", "driver_license", "bank_card", "bank_account", "bik")
+PERSONAL_SCAN = ("fio", "email", "birth_date", "address", "biometric", "health", "special")
+# White space as Unicode has it, separators of files and records included.
+SPACE = (
+    r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-from veilspan.plans.corpus import OVERLAY, OVERLAY_PERIOD
-from veilspan.sources.listing import EXTRACTED, FAMILIES, SUFFIX_GROUPS
-from veilspan.sources.reports import DETAILED_HEADERS
 
 _OPEN, _CLOSE = r"\x{E000}", r"\x{E001}"
 _TOKENS = {
@@ -387,20 +424,26 @@ def _rotated() -> str:
     return (
         f"(select doc_id, path, text, case {arms} end as family from (select doc_id, "
         f"'documents/' || doc_id || {suffixes}[doc_id % {len(ROTATED_SUFFIXES)} + 1] as path, "
-        f"case when doc_id % {BLANK_PERIOD} = 0 then ' ' else {_overlaid()} end as text "
+        f"case when doc_id % {BLANK_PERIOD} = 0 then ' ' || chr(10) || chr(160) || chr(8195) else {_overlaid()} end as text "
         "from documents))"
     )
 
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 _CELLS = "concat_ws(' ', cast(c_custkey as varchar), c_name, card, snils, inn10, inn12)"
 
 
 def _sources() -> dict[str, str]:
-    ascii_text = r"regexp_replace(text, '[^\x00-\x7F]', '?', 'g')"
+    latin = r"regexp_replace(text, '[^\x00-\x7F\x{A1}-\x{FF}]', '?', 'g')"
+    high = bytes(range(0xA1, 0x100))
+    cp1251 = f"translate({latin}, '{high.decode('latin1')}', '{high.decode('cp1251')}')"
     decoded = (
         "case doc_id % 3 when 0 then text "
-        f"when 1 then 'Привет, мир!' || chr(10) || {ascii_text} "
-        f"else chr(152) || 'Ïð' || chr(10) || {ascii_text} end"
+        f"when 1 then 'Привет, мир!' || chr(10) || {cp1251} "
+        f"else chr(152) || 'Ïð' || chr(10) || {latin} end"
     )
     digest = "cast(length(text) as bigint) as n_chars, md5(text) as digest"
     extracted = _in("family", EXTRACTED)
@@ -410,10 +453,15 @@ def _sources() -> dict[str, str]:
         "format_router": f"select doc_id, path, family from {_rotated()}",
         "decode_text": f"select doc_id, {digest} from (select doc_id, "
         rf"regexp_replace({decoded}, '\r\n?', chr(10), 'g') as text from documents)",
-        "scan_csv": f"select {_CELLS} as text from {_identifiers()}",
+        "scan_csv": f"select {_CELLS} || case c_custkey % 3 when 0 then ' a, \"' || c_name || '\"' "
+        f"when 1 then ' ' || c_name || chr(10) || card else '' end as text from {_identifiers()}",
+        # An object that holds records is a record without cells of its own.
         "scan_json": f"select {_CELLS} as text from {_identifiers()}",
-        "scan_parquet": "select concat_ws(' ', cast(c_custkey as varchar), c_name, c_mktsegment) "
-        "as text from customer",
+        "scan_parquet": "select concat_ws(' ', cast(c_custkey as varchar), c_name, cast(c_nationkey as varchar), "
+        "cast(c_acctbal as varchar), c_mktsegment) as text from customer",
+        "src_listing": "select name || '.parquet' as name, '.parquet' as format from (values "
+        + ", ".join(f"('{t}')" for t in TABLES)
+        + ") as t(name)",
         "table_to_text": "select c_custkey, concat_ws(' ', cast(c_custkey as varchar), "
         "case when c_custkey % 5 <> 0 then card end, "
         "cast(to_json({'snils': snils, 'name': c_name}) as varchar), inn12) as text "
@@ -421,7 +469,7 @@ def _sources() -> dict[str, str]:
         "html_text": f"select page_id, {digest} from {_html()}",
         "extract_status": "select case when family is null then 'unsupported' "
         f"when not {extracted} then 'skipped_media' "
-        rf"when not regexp_matches(text, '\S') then 'blank' else 'ok' end as status, "
+        f"when not regexp_matches(text, '[^{SPACE}]') then 'blank' else 'ok' end as status, "
         f"count(*) as files from {_rotated()} group by 1",
         "report_roundtrip": f"with {_corpus()}, {_candidates('docs', 'path', 'doc_id, path', CATEGORIES)}, "
         f"found as (select * from candidates where {_value_ok()}), {_profile()} "

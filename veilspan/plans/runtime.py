@@ -1,41 +1,26 @@
-"""Sizing and scratch space, both taken from the session."""
+"""Parallelism and scratch space, both stated by the session."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Number of partitions to deal small inputs out to; by default inputs stay as they are split.
+SPREAD = "spark.veilspan.spread"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core some rows of a small input.
+    """Deal rows out by their unique keys, if the session asks for it.
 
-    A scan cannot cut a Parquet row group, so a small table may land in one
-    task.  Below one full-sized split per core the table is shuffled by its
-    unique keys, which costs little because it is small; above that the scan
-    already has enough splits and the table is left alone.  Hashing by key
-    keeps a lost task's recomputation identical.
+    A scan cannot cut a Parquet row group, so a small table may keep one core busy; a shuffle of
+    its text is worth while on one machine and is not on large data, so only the user can tell.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > cores * _bytes(split_bytes):
-        return df
-    return df.repartition(cores * 3, *keys)
-
-
-def _bytes(text: str) -> int:
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    return int(text[:-1]) << units[text[-1].lower()] if text[-1].isalpha() else int(text)
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path below the cluster's shared checkpoint folder.
-
-    Only where none is configured, as in tests, a temporary folder is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="veilspan-")
-    return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """New path in the folder that all executors share, or in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspan.operators.detect import findings
 from veilspan.operators.profile import profile_files, profile_rows
 from veilspan.sources.directory import table_rows, whole_files
-from veilspan.sources.listing import family, list_files, status
+from veilspan.sources.listing import LONGEST_VALUE, family, list_files, skipped_name, status, visible
 from veilspan.sources.reports import detailed_report, summary_report, write_report
 
 
-def scan_directory(spark: SparkSession, root: str, categories=None) -> DataFrame:
-    """Profile of every file below a directory that holds personal data."""
+def scan_directory(spark: SparkSession, root: str | list[str], categories=None) -> DataFrame:
+    """Profile of every file below a directory, or of the named files, that holds personal data."""
     files = profile_files(whole_files(spark, root), categories=categories)
     tables = profile_rows(table_rows(spark, root), categories=categories)
     return files.unionByName(tables)
@@ -26,16 +26,25 @@ def scan_findings(spark: SparkSession, root: str, categories=None) -> DataFrame:
 
 
 def scan_status(spark: SparkSession, root: str) -> DataFrame:
-    """Every listed file with its family and why it has, or has not, text."""
-    listed = list_files(spark, root).selectExpr("*", f"{family('path')} as family")
+    """Every listed file with its family and why it has, or has not, text.
+
+    Files that no reader opens are named: ``skipped_name`` for names that start with an underscore
+    or a dot, or lie in such a folder, and ``too_long`` for text beyond the longest value.
+    """
+    listed = list_files(spark, root).selectExpr(
+        "*", f"{family('path')} as family", f"{skipped_name('path', root)} as hidden"
+    )
     corpus = whole_files(spark, root).unionByName(table_rows(spark, root))
     # Keep a short witness of visible text per row, never the text itself.
     witness = corpus.selectExpr(
-        "path", "case when rlike(text, '\\\\S') then 'x' else '' end as seen"
+        "path", f"case when {visible('text')} then 'x' else '' end as seen"
     ).groupBy("path").agg({"seen": "max"}).withColumnRenamed("max(seen)", "seen")
+    too_long = f"family in ('text', 'html', 'json') and size > {LONGEST_VALUE}"
     return listed.join(witness, "path", "left").selectExpr(
-        "path", "name", "size", "format", "family", f"{status('family', 'seen')} as status"
-    )
+        "path", "name", "size", "format", "family",
+        f"case when hidden then 'skipped_name' when {too_long} then 'too_long' "
+        f"else {status('family', 'seen')} end as status",
+    )
 
 
 def write_reports(profile: DataFrame, summary_path: str, detailed_path: str) -> None:

@@ -1,8 +1,9 @@
 """A directory of mixed files as corpus rows.
 
 Text and HTML files are one row each, because a match may run over line ends.
-Tables are one row per record.  Files too long to be held as one value are read
-line by line instead, which Spark can split over many tasks.
+Tables are one row per record.  Every file is read in the same way whatever its
+size; a single value ends at 2 GiB in Spark, and longer text, HTML and JSON
+files are left to ``too_long``.
 """
 
 from __future__ import annotations
@@ -12,42 +13,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.functions.text import decode_text, decode_utf8_lossy, html_text
-from veilspan.sources.listing import family, file_columns, with_metadata
-from veilspan.sources.tables import (
-    any_case,
-    csv_rows,
-    json_records,
-    line_rows,
-    parquet_rows_any_schema,
-)
+from veilspan.sources.listing import LONGEST_VALUE, family, file_columns, with_metadata
+from veilspan.sources.tables import any_case, csv_rows, json_records, parquet_rows_any_schema
 
 _WHOLE = (".txt", ".md", ".html", ".htm")
-_JSON = (".json",)
-# Longest file taken as a single value; a binary column ends at 2 GiB.
-WHOLE_FILE_BYTES = 128 << 20
 
-# Fixed by the file source; a stream has to be told.
-_BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-
-def whole_files(
-    spark: SparkSession,
-    root: str,
-    streaming: bool = False,
-    longest: int = WHOLE_FILE_BYTES,
-) -> DataFrame:
-    """Text and HTML files, one row each: path, size, mtime, name, format, text.
-
-    Longer files are left to ``table_rows``.  With ``streaming`` the rows come
-    from a file stream.
-    """
-    reader = spark.readStream.schema(_BINARY_SCHEMA) if streaming else spark.read
+def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text and HTML files, one row each: path, size, mtime, name, format, text."""
     files = (
-        reader.format("binaryFile")
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", any_case(*_WHOLE))
-        .load(root)
-        .where(f"length <= {longest}")
+        .load(paths)
+        .where(f"length <= {LONGEST_VALUE}")
         .selectExpr(*file_columns(), "content")
     )
     text = (
@@ -61,12 +40,11 @@ def whole_files(
     )
 
 
-def table_rows(spark: SparkSession, root: str, longest: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """CSV, JSON and Parquet records and the lines of overlong files, columns as above."""
+def table_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV, JSON and Parquet records, columns as above."""
     parts = [
-        csv_rows(spark, root, any_case(".csv")),
-        json_records(spark, root, any_case(*_JSON), longest),
-        line_rows(spark, root, any_case(*_WHOLE, *_JSON), longer_than=longest),
-        *parquet_rows_any_schema(spark, root, any_case(".parquet")),
+        csv_rows(spark, paths, any_case(".csv")),
+        json_records(spark, paths, any_case(".json")),
+        parquet_rows_any_schema(spark, paths, any_case(".parquet")),
     ]
-    return with_metadata(reduce(DataFrame.unionByName, parts))
+    return with_metadata(reduce(DataFrame.unionByName, (p for p in parts if p is not None)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veilspan.functions.patterns import SPACE
 from veilspan.functions.sqltext import quoted
@@ -21,6 +24,8 @@ FAMILIES = [
 ]
 # Families whose text Spark extracts; the others are listed but not read.
 EXTRACTED = ("text", "csv", "json", "parquet", "html")
+# The longest value of a binary column.
+LONGEST_VALUE = (1 << 31) - 1
 # --- fixed values: suffix groups of the report dimension ------------------
 SUFFIX_GROUPS = [
     ("documents", [".pdf", ".doc", ".docx", ".rtf", ".xls", ".xlsx"]),
@@ -91,13 +96,65 @@ def file_columns() -> list[str]:
     ]
 
 
+class _FolderWalk(DataSource):
+    """Files below a folder with any name, walked by the executors: one task per entry of the folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "veilspan_folder_walk"
+
+    def schema(self) -> str:
+        return "path string, size bigint, mtime timestamp"
+
+    def reader(self, schema):
+        return _FolderReader(self.options["path"])
+
+
+class _FolderReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def _open(self):
+        from pyarrow import fs  # in the task only: it starts threads of its own
+
+        if "://" in self.path or self.path.startswith("file:"):
+            uri = re.sub("^file:/*", "file:///", self.path)
+            return fs.FileSystem.from_uri(uri)
+        return fs.LocalFileSystem(), self.path
+
+    def partitions(self):
+        from pyarrow import fs
+
+        store, root = self._open()
+        if store.get_file_info(root).is_file:
+            return [InputPartition(root)]
+        return [InputPartition(x.path) for x in store.get_file_info(fs.FileSelector(root))] or [InputPartition(None)]
+
+    def read(self, partition):
+        if partition.value is None:
+            return
+        from pyarrow import fs
+
+        store, _ = self._open()
+        found = store.get_file_info(partition.value)
+        below = [found] if found.is_file else store.get_file_info(fs.FileSelector(found.path, recursive=True))
+        scheme = self.path.split("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else "file:"
+        for f in below:
+            if f.is_file:
+                yield f"{scheme}{f.path}", f.size, f.mtime
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a directory: path, size, mtime, name, format.
+    """Every file below a directory, whatever its name: path, size, mtime, name, format.
 
-    Only metadata is read, never content.  Spark's file sources leave out names
-    that start with an underscore or a dot.
+    Only metadata is read, never content.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
-    return with_metadata(files.selectExpr(*file_columns()))
+    spark.dataSource.register(_FolderWalk)
+    files = spark.read.format("veilspan_folder_walk").load(root)
+    return with_metadata(files.selectExpr("path", "size", "cast(mtime as timestamp_ntz) as mtime"))
+
+
+def skipped_name(path: str, root: str) -> str:
+    """Whether Spark's file sources pass over a path below a root: a part starts with an underscore or a dot."""
+    below = f"substr({path}, instr({path}, {quoted(root.rstrip('/').split('://')[-1].removeprefix('file:'))}) + {len(root.rstrip('/').split('://')[-1].removeprefix('file:'))})"
+    return f"rlike({below}, '/[._]')"

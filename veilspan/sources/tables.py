@@ -1,22 +1,24 @@
 """Table formats to row texts: one output row per record, not one per file.
 
 A record is scanned on its own, so a match cannot run from one record into the
-next, and a file of any length is spread over many tasks.
+next.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from veilspan.functions.sqltext import let
+from veilspan.functions.sqltext import let, quoted
 from veilspan.functions.text import decode_text, row_text
 from veilspan.sources.listing import file_columns
 
-# Wider lines than this are scanned as they stand, with separators blanked.
-MAX_CSV_COLUMNS = 1000
-
 
 def any_case(*suffixes: str) -> str:
     """Glob for names ending in one of the suffixes, in any case."""
@@ -31,34 +33,34 @@ def _reader(spark: SparkSession, glob: str | None):
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-def csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Rows (path, size, mtime, text) of CSV files with any mix of headers.
+def csv_rows(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """Rows (path, size, mtime, text) of CSV files with any mix of headers and widths.
 
-    The first line of a file is a row like any other.  Cells are read as Latin-1,
-    which keeps every byte, and each row is then decoded by the usual order of
-    encodings.  The number of columns comes from one aggregate over the lines.
+    The first line of a file is a row like any other.  The reader is told of one column, so a
+    record of several cells comes as a whole, with line breaks inside quotes, and is cut here.
+    Bytes are read as Latin-1, which keeps each of them, and every record is then decoded by the
+    usual order of encodings.  Nothing is read before the action.
     """
-    lines = _reader(spark, glob).text(path)
-    separators = "octet_length(value) - octet_length(replace(value, ',', ''))"
-    widest = lines.selectExpr(f"max({separators}) as n").first()["n"]
-    width = min((widest or 0) + 1, MAX_CSV_COLUMNS)
-    cells = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_line"]])
     table = (
         _reader(spark, glob)
-        .schema(schema)
+        .schema("cell string, record string")
         .option("encoding", "ISO-8859-1")
         .option("escape", '"')
-        .option("columnNameOfCorruptRecord", "_line")
-        .csv(path)
+        .option("multiLine", "true")
+        .option("maxColumns", "1000000")
+        .option("columnNameOfCorruptRecord", "record")
+        .csv(paths)
     )
-    too_wide = f"char_length(_line) - char_length(replace(_line, ',', '')) >= {width}"
-    joined = (
-        f"case when _line is not null and {too_wide} then translate(_line, ',\"', '  ') "
-        f"else concat_ws(' ', {', '.join(cells)}) end"
+    # A cell starts at a separator: a quoted part and what follows it, or no quote at the start.
+    cell = r'(?:^|,)("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+    plain = (
+        "case when startswith(x, '\"') then replace(regexp_replace(x, '(?s)^\"(.*)\"([^\"]*)$', '$1$2'), '\"\"', '\"') "
+        "else x end"
     )
+    cells = f"transform(regexp_extract_all(rtrim('\\r\\n', record), {quoted(cell)}, 1), x -> {plain})"
+    joined = f"case when record is null then cell else array_join(filter({cells}, x -> x <> ''), ' ') end"
     text = let("b", f"encode({joined}, 'ISO-8859-1')", decode_text("b"))
-    return table.selectExpr(*file_columns(), f"{text} as text")
+    return table.selectExpr(*file_columns(), f"{text} as text").where("text is not null")
 
 
 def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -69,87 +71,86 @@ def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
 
-def line_rows(spark: SparkSession, path: str, glob: str, longer_than: int) -> DataFrame:
-    """Lines of the files above a size, as rows (path, size, mtime, text).
+class _Written(str):
+    """A number or constant as it stands in the document."""
 
-    Only the lines are kept together, so a match does not run over a line end.
-    Each line is decoded by the usual order of encodings.
-    """
-    lines = _reader(spark, glob).text(path).where(f"_metadata.file_size > {longer_than}")
-    # The text source hands over the bytes of a line as they are.
-    text = let("b", "cast(value as binary)", decode_text("b"))
-    return lines.selectExpr(*file_columns(), f"{text} as text")
 
+def _cell(value) -> str:
+    """A JSON value as cell text: scalars as written, null empty, the rest as JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return value if isinstance(value, str) else _json(value)
 
-def json_records(
-    spark: SparkSession, path: str, glob: str | None = None, longest: int = (1 << 31) - 1
-) -> DataFrame:
-    """Rows (path, size, mtime, text) of JSON documents, one per record.
 
-    A document is an array of records, one object, or one object per line.
-    Objects in an array field count as records of their own.  Whatever does not
-    parse gives no row.
-    """
-    files = _reader(spark, glob).format("binaryFile").load(path).where(f"length <= {longest}")
-    bodies = files.selectExpr(
-        *file_columns(), f"btrim({decode_text('content')}, ' \\t\\n') as body"
-    )
-    # The parser stops after the first value, so a first line that is complete
-    # with more lines after it marks a line-delimited file.
-    by_line = (
-        "contains(body, '\n') and try_parse_json(substring_index(body, '\n', 1)) is not null"
-    )
-    parsed = bodies.selectExpr(
-        "path",
-        "size",
-        "mtime",
-        "body",
-        f"case when {by_line} then null else try_parse_json(body) end as doc",
-    )
-    lines = "transform(split(body, '\n'), l -> try_parse_json(l))"
-    items = (
-        f"case when doc is null then filter({lines}, d -> d is not null) "
-        "else coalesce(try_variant_get(doc, '$', 'array<variant>'), array(doc)) end"
-    )
-    records = parsed.selectExpr("path", "size", "mtime", f"explode_outer({items}) as record")
-    fields = records.where("record is not null").selectExpr(
-        "path",
-        "size",
-        "mtime",
-        "record",
-        "map_values(try_variant_get(record, '$', 'map<string, variant>')) as fields",
-    )
-    # The record's own cells, then one row for each object inside an array field.
-    objects = (
-        "filter(coalesce(try_variant_get({f}, '$', 'array<variant>'), "
-        "cast(array() as array<variant>)), x -> is_object(x))"
-    )
+def _json(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    if isinstance(value, str):
+        return str(value) if isinstance(value, _Written) else json.dumps(value, ensure_ascii=False)
+    return json.dumps(value)
 
-    def cells(values: str) -> str:
-        return f"array_join(filter(transform({values}, c -> {_cell('c')}), s -> s <> ''), ' ')"
 
-    def is_object(x: str) -> str:
-        return f"try_variant_get({x}, '$', 'map<string, variant>') is not null"
+def _record_texts(record) -> list[str]:
+    """A record's own cells, then one text for each object inside an array of it."""
+    if not isinstance(record, dict):
+        return [_cell(record)]
+    inner = [x for v in record.values() if isinstance(v, list) for x in v if isinstance(x, dict)]
+    own = [v for v in record.values() if not (isinstance(v, list) and any(isinstance(x, dict) for x in v))]
+    return [" ".join(c for c in map(_cell, own) if c), *(" ".join(c for c in map(_cell, x.values()) if c) for x in inner)]
 
-    nested = objects.replace("is_object(x)", is_object("x"))
-    own = cells(f"filter(fields, f -> size({nested.format(f='f')}) = 0)")
-    inner = (
-        f"transform(flatten(transform(fields, f -> {nested.format(f='f')})), o -> "
-        + cells("map_values(try_variant_get(o, '$', 'map<string, variant>'))")
-        + ")"
-    )
-    texts = (
-        f"case when fields is null then array({_cell('record')}) "
-        f"else filter(concat(array({own}), {inner}), t -> t <> '') end"
-    )
-    return fields.selectExpr("path", "size", "mtime", f"explode_outer({texts}) as text").where(
-        "text is not null"
-    )
 
+_DECODER = json.JSONDecoder(parse_float=_Written, parse_int=_Written, parse_constant=_Written, strict=False)
+_BLANK = re.compile(r"[ \t\n\r\ufeff]*")
 
-def _cell(value: str) -> str:
-    """A JSON value as cell text: scalars as written, null empty, the rest as JSON."""
-    return f"if(is_variant_null({value}), '', coalesce(try_variant_get({value}, '$', 'string'), to_json({value}), ''))"
+
+def json_texts(body: str) -> Iterator[str]:
+    """Texts of a document's records: an array's elements, or values one after another.
+
+    Values are parsed one by one.  What does not parse, to the next line that does, is a text
+    as it stands, so nothing is lost to a bad token.  Of equal keys the last counts, and NaN and
+    infinities are accepted.
+    """
+    at, end, inside = _BLANK.match(body).end(), len(body), False
+    if body.startswith("[", at):
+        at, inside = _BLANK.match(body, at + 1).end(), True
+    while at < end:
+        if inside and body[at] in ",]":
+            inside = body[at] == ","
+            at = _BLANK.match(body, at + 1).end()
+            continue
+        value = None
+        try:
+            value, stop = _DECODER.raw_decode(body, at)
+            texts = _record_texts(value)
+        except (ValueError, RecursionError):
+            stop = body.find("\n", at)
+            stop = end if stop < 0 else stop + 1
+            texts = [body[at:stop].strip()]
+        if not inside and isinstance(value, list) and texts:
+            texts = [t for x in value for t in _record_texts(x)]
+        yield from (t for t in texts if t)
+        at = _BLANK.match(body, stop).end()
+
+
+def json_records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """Rows (path, size, mtime, text) of JSON documents, one per record; see json_texts."""
+    files = _reader(spark, glob).format("binaryFile").load(paths)
+    bodies = files.selectExpr(*file_columns(), f"{decode_text('content')} as body")
+
+    def parsed(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                texts = json_texts(one.column("body")[0].as_py() or "")
+                while part := list(islice(texts, 4096)):
+                    held = [pa.array(one.column(c).to_pylist() * len(part), one.column(c).type) for c in ("path", "size", "mtime")]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(part, pa.string())], names=["path", "size", "mtime", "text"])
+
+    return bodies.mapInArrow(parsed, "path string, size bigint, mtime timestamp_ntz, text string")
 
 
 def json_table(
@@ -174,48 +175,53 @@ def parquet_rows(
     return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
 
-def parquet_rows_any_schema(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:
-    """Row texts of all Parquet files below a directory, whatever their schemas.
+def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame | None:
+    """Row texts of all Parquet files, whatever their schemas; None where there is no such file.
 
-    Files are read through one merged schema; where the types of two files
-    clash, each folder is read apart, and in a mixed folder each file.  A file
-    that is not Parquet at all gives no rows, as any unreadable file does.
+    Files are read through one merged schema.  Where the types of two files clash no common schema
+    exists: each file is then opened as it is, record batch by record batch, in one plan for any
+    number of files.  A file that is not Parquet at all gives no rows, as any unreadable file does.
     """
-
-    def read(*paths: str) -> DataFrame:
-        table = (
-            _reader(spark, glob)
-            .option("mergeSchema", "true")
-            .option("ignoreCorruptFiles", "true")
-            .parquet(*paths)
-        )
-        return table.selectExpr(*file_columns(), f"{row_text(table)} as text")
-
-    def read_apart(groups: list[list[str]]) -> list[DataFrame]:
-        out: list[DataFrame] = []
-        for paths in groups:
-            try:
-                out.append(read(*paths))
-            except Exception as error:
-                if "UNABLE_TO_INFER_SCHEMA" in str(error):
-                    continue
-                if "CANNOT_MERGE" not in str(error) or groups == [[paths[0]]]:
-                    raise
-                out += read_apart([[p] for p in paths])
-        return out
-
+    table = _reader(spark, glob).option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
+    paths = [paths] if isinstance(paths, str) else paths
     try:
-        return [read(path)]
-    except AnalysisException as error:
-        if "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return []
-        raise
+        found = table.parquet(*paths)
+        return found.selectExpr(*file_columns(), f"{row_text(found)} as text")
     except Exception as error:
+        if "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
         if "CANNOT_MERGE" not in str(error):
             raise
-    # File names only; the file index holds them on the driver already.
-    names = _reader(spark, glob).format("binaryFile").load(path).select("path").collect()
-    folders: dict[str, list[str]] = {}
-    for (name,) in names:
-        folders.setdefault(name.rsplit("/", 1)[0], []).append(name)
-    return read_apart(list(folders.values()))
+    files = _reader(spark, glob).format("binaryFile").load(paths).selectExpr(*file_columns(), "content")
+
+    def opened(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                try:
+                    parts = ParquetFile(pa.BufferReader(one.column("content")[0].as_buffer())).iter_batches(4096)
+                except pa.ArrowInvalid:
+                    continue
+                for part in parts:
+                    texts = [" ".join(c for c in map(_plain, row) if c is not None) for row in zip(*(c.to_pylist() for c in part.columns))]
+                    held = [pa.array(one.column(c).to_pylist() * len(texts), one.column(c).type) for c in ("path", "size", "mtime")]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(texts, pa.string())], names=["path", "size", "mtime", "text"])
+
+    return files.mapInArrow(opened, "path string, size bigint, mtime timestamp_ntz, text string")
+
+
+def _plain(value) -> str | None:
+    """A Parquet cell as text; nested values as JSON, bytes as UTF-8, cp1251 or Latin-1."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, bytes):
+        for encoding in ("utf-8", "cp1251", "latin-1"):
+            try:
+                return value.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+    if isinstance(value, (list, dict)):
+        return json.dumps(value, ensure_ascii=False, default=str, separators=(",", ":"))
+    return str(value)
