@@ -6,7 +6,6 @@ Fixed values: the patterns must match what the rules are defined to match.
 import re
 
 I = re.IGNORECASE
-D = r"\d"
 PLAIN = {
     "fio": re.compile(r"\b[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+)?\b"),
     "phone": re.compile(
