@@ -8,6 +8,7 @@ the running sum of sizes comes nearer to the rest.
 
 Only the slice of keys in which a source's budget ends is sorted: keys fall into fixed slices,
 the sums of slices decide all others.  The first sum is per task, so a hot source is no problem.
+Only the table of sources, one row each, and the sums of a source's slices are ordered in one task.
 
 Defined results: a null text has size 0 and is never sampled beyond complete epochs; rows that
 are equal in every column are interchangeable; an empty table gives no rows.

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm import textkit as tk
 from veilspan.llm.common import map_batches, table
 from veilspan.llm.scratch import cut
 
