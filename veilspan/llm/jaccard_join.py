@@ -38,7 +38,7 @@ SHINGLE = 5
 PERCENT = 75
 FEW = 24
 OFTEN = 2  # times within a block of shingles
-ROUNDS, PARTNERS, SHARE = 4, 3, 512
+ROUNDS, PARTNERS, SHARE = 2, 3, 512
 APART = f"root <> root2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
 BLOCK = 1 << 22
 MOST_FREQUENT = 1 << 23
