@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.llm.scratch import cut
+
 #: Words between ASCII white space.
 WHITE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,19 +77,45 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row is a row of a Parquet file, with columns chosen and rows filtered at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
+
+
 def numbered(docs: DataFrame, text: str) -> DataFrame:
     """Add _row, a number for each row of this input, and th, a hash of its text.
 
-    The number depends on how the files are split, which is the same for every scan of them; th
-    guards the joins on it.
+    The number is the row's place in its Parquet file below the file's place in the order of names,
+    so it does not depend on splits or executors.  Rows that are not simply read from Parquet files
+    are written once and read from there; all later scans must start from this result.
     """
-    return docs.withColumns({"_row": F.monotonically_increasing_id(), "th": F.xxhash64(F.col(text))})
+    if not _plain_scan(docs):
+        docs = cut(docs, "numbered")
+    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    files = sorted(r[0] for r in at.select("_file").distinct().collect())  # one row a file
+    places = docs.sparkSession.createDataFrame(
+        pa.table({"_file": pa.array(files, pa.string()), "_place": pa.array(range(len(files)), pa.int64())})
+    )
+    place = F.coalesce("_place", F.raise_error(F.lit("a file that was not listed")).cast("bigint"))
+    return (
+        at.join(F.broadcast(places), "_file", "left")
+        .withColumns({"_row": F.shiftleft(place, 40) + F.col("_index"), "th": F.xxhash64(F.col(text))})
+        .drop("_file", "_place", "_index")
+    )
+
 
+def all_met(got: int, asked: int, what: str) -> None:
+    """Fail where a join on (_row, th) lost rows, as when files change between two scans."""
+    if got != asked:
+        raise RuntimeError(f"{what}: {got} of {asked} rows found in a later scan; the input has changed")
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
-    """The rows whose th may be among the wanted ones (or surely is not); by a bitmap of fixed size."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th"))
 
+def _sifted(rows: DataFrame, shared: Broadcast, inverse: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy()) ^ inverse))
@@ -94,12 +123,18 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataF
     return rows.mapInArrow(run, rows.schema)
 
 
-def without(docs: DataFrame, text: str, gone: DataFrame) -> DataFrame:
-    """The documents but for the gone (_row, th); only texts that may be gone are shuffled."""
-    rows, columns = numbered(docs, text), docs.columns
-    stay = maybe_in(rows, gone, inverse=True)
-    doubt = maybe_in(rows, gone).join(gone, ["_row", "th"], "left_anti")
-    return stay.select(*columns).unionByName(doubt.select(*columns))
+def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose th may be among the wanted ones; by a bitmap of fixed size."""
+    return _sifted(rows, rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th")))
+
+
+def without(rows: DataFrame, columns: list[str], gone: DataFrame) -> DataFrame:
+    """The columns of numbered rows but for the gone (_row, th); only texts that may be gone are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(gone, "th"))
+    met = _sifted(rows.select("_row", "th"), shared).join(gone, ["_row", "th"], "left_semi")
+    all_met(met.count(), gone.count(), "rows to leave out")
+    doubt = _sifted(rows, shared).join(gone, ["_row", "th"], "left_anti")
+    return _sifted(rows, shared, inverse=True).select(*columns).unionByName(doubt.select(*columns))
 
 
 def label_sample(labels: DataFrame, key: str, label: str, most: int, balanced: bool) -> DataFrame:

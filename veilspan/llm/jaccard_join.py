@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import bitmap, in_bitmap, maybe_in, table, without
+from veilspan.llm.common import all_met, bitmap, in_bitmap, maybe_in, numbered, table, without
 from veilspan.llm.components import components
 from veilspan.llm.scratch import cut, shuffle_partitions
 
@@ -308,13 +308,15 @@ def _neighbours(spots: DataFrame, turn: int) -> DataFrame:
     return _ordered(beside.where(APART).select(F.col("node").alias("a"), F.col("node2").alias("b")))
 
 
-def _texts(docs: DataFrame, text: str, measured: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, measured: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text for each wanted node, by the row that stands for the node."""
     ends = wanted.toDF("node").distinct()
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
-    bodies = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row")).withColumn("th", F.xxhash64("text"))
+    bodies = rows.select(F.col("_body").alias("text"), "_row", "th")
     stands = cut(stands, "stands")
-    return cut(maybe_in(bodies, stands).join(stands, ["_row", "th"]).select("node", "text"), "texts")
+    texts = cut(maybe_in(bodies, stands).join(stands, ["_row", "th"]).select("node", "text"), "texts")
+    all_met(texts.count(), stands.count(), "texts of nodes")
+    return texts
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -323,17 +325,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """One row per document: the key, n_shingles, component_id (least key of its component), _row and th."""
-    spark = docs.sparkSession
-    bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"))
+    return _linked(numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body"), key, few)
+
+
+def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
+    """link_documents from numbered rows (_key, _body, _row, th)."""
+    spark = rows.sparkSession
     schema = "_row bigint, n_shingles bigint, node bigint, often bigint, th bigint"
-    numbered = bodies.select("_key", "_body", F.monotonically_increasing_id().alias("_row"))
-    scanned = cut(
-        numbered.select("_row", "_body", F.xxhash64("_body").alias("th")).mapInArrow(_measured, schema), "measured"
-    )
+    scanned = cut(rows.select("_row", "_body", "th").mapInArrow(_measured, schema), "measured")
     measured = scanned.where("often is null").drop("often")
     shared = spark.sparkContext.broadcast(_bitmap(scanned.where("often is not null").select(F.col("node").alias("h"), "often")))
     found = cut(
-        bodies.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark), few), _POSTED_SQL)
+        rows.select("_body").mapInArrow(_postings(shared, 4 * shuffle_partitions(spark), few), _POSTED_SQL)
         .groupBy("bucket").applyInArrow(lambda found: _paired(found, few), "kind int, x bigint, y bigint, z bigint"),
         "candidates",
     )
@@ -351,7 +354,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", few
         "first",
     )
     spots = cut(crowded.select("t", "g").join(nodes, "g").select("t", "node", "n"), "spots")
-    texts = _texts(docs, text, measured, first.select("a").union(first.select("b")).union(spots.select("node")))
+    texts = _texts(rows, measured, first.select("a").union(first.select("b")).union(spots.select("node")))
     roots = cut(components(_verify(first, texts)), "roots")
     # Crowded shingles: a few partners for each member, anew in each round, until nothing joins.
     tried = first
@@ -385,18 +388,21 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", few
         "last",
     )
     if not last.isEmpty():
-        texts = _texts(docs, text, measured, last.select(F.col("a").alias("node")).union(last.select("b")))
+        texts = _texts(rows, measured, last.select(F.col("a").alias("node")).union(last.select("b")))
         more = _verify(last, texts)
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+    keys = cut(rows.select("_row", "th", "_key"), "keys")
+    keyed = cut(keys.join(measured, ["_row", "th"]), "keyed")
+    all_met(keyed.count(), measured.count(), "keys of documents")
     ids = (
-        measured.where("n_shingles > 0").join(numbered.select("_row", "_key"), "_row")
+        keyed.where("n_shingles > 0")
         .groupBy("node").agg(F.min("_key").alias("_least"))
         .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     )
     ids = cut(ids, "ids")
     named = ids.select("node", "root").join(ids.groupBy("root").agg(F.min("_least").alias("_component")), "root")
     return (
-        numbered.select("_row", "_key").join(measured, "_row").join(named.withColumn("_linked", F.lit(True)), "node", "left")
+        keyed.join(named.withColumn("_linked", F.lit(True)), "node", "left")
         .select(
             F.col("_key").alias(key),
             "n_shingles",
@@ -408,9 +414,11 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", few
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, but of each component only the one with the least key (the first row on ties)."""
-    linked = cut(link_documents(docs, key, text).where("n_shingles > 0"), "linked")
-    first = linked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).alias("f")).select(F.col("f._row").alias("_row"))
-    return without(docs, text, cut(linked.join(first, "_row", "left_anti").select("_row", "th"), "gone"))
+    rows = numbered(docs, text)
+    named = rows.select(F.col(key).alias("_key"), F.col(text).alias("_body"), "_row", "th")
+    linked = cut(_linked(named, key).where("n_shingles > 0"), "linked")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "_row", "th")).alias("f")).select("f._row", "f.th")
+    return without(rows, docs.columns, cut(linked.join(first, ["_row", "th"], "left_anti").select("_row", "th"), "gone"))
 
 
 def op6_grouped_prefix(spark, sf_dir: str) -> DataFrame:

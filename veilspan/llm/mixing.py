@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import WHITE_WORD, numbered, table, uniform
+from veilspan.llm.common import WHITE_WORD, all_met, numbered, table, uniform
 from veilspan.llm.scratch import cut
 
 MOST_EPOCHS = 3
@@ -129,6 +129,8 @@ def draw(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The documents as often as the mix takes them, with all their columns."""
     rows = numbered(docs, text)
     mixed = cut(mix(cut(measure(rows, key, text, source), "sizes")).where("copies > 0").select("_row", "th", "copies"), "mixed")
+    met = rows.select("_row", "th").join(mixed, ["_row", "th"], "left_semi")
+    all_met(met.count(), mixed.count(), "rows of the mix")
     taken = rows.join(mixed, ["_row", "th"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import map_batches, maybe_in, table
+from veilspan.llm.common import all_met, map_batches, maybe_in, numbered, table
 from veilspan.llm.scratch import cut, shuffle_partitions
 
 WIDTH = 400
@@ -212,7 +212,7 @@ def _window_hashes(width: int):
 def _removed(batch):
     """n_removed, n_spans and kept_sha256 of texts with their marked intervals."""
     out = []
-    for row, body, spans in zip(*(batch.column(c).to_pylist() for c in ("_row", "_body", "spans"))):
+    for row, th, body, spans in zip(*(batch.column(c).to_pylist() for c in ("_row", "th", "_body", "spans"))):
         body, reach, merged = (body or "").encode(), -1, []
         for s in sorted(spans, key=lambda s: (s["a"], s["b"])):
             if merged and s["a"] <= merged[-1][1]:
@@ -224,18 +224,18 @@ def _removed(batch):
             digest.update(body[left:a])
             left = b
         digest.update(body[left:])
-        out.append((row, sum(b - a for a, b in merged), len(merged), digest.hexdigest(), [{"a": a, "b": b} for a, b in merged]))
-    columns = list(zip(*out)) or [[]] * 5
+        out.append((row, th, sum(b - a for a, b in merged), len(merged), digest.hexdigest(), [{"a": a, "b": b} for a, b in merged]))
+    columns = list(zip(*out)) or [[]] * 6
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_row", "cut_bytes", "cut_spans", "cut_sha", "cut"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_row", "th", "cut_bytes", "cut_spans", "cut_sha", "cut"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, few: int = FEW) -> DataFrame:
     """One row per document: the key, n_bytes, n_removed, n_spans, kept_sha256 and the cut spans."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(key).alias("_key"), body.alias("_body"), F.monotonically_increasing_id().alias("_row")).withColumn("th", F.xxhash64("_body"))
+    texts = numbered(docs.select(F.col(key).alias("_key"), body.alias("_body")), "_body")
     rows = cut(
         texts.select("_row", "_key", "th", F.octet_length("_body").cast("long").alias("n_bytes"), F.sha2(F.col("_body").cast("binary"), 256).alias("sha")),
         "rows",
@@ -260,6 +260,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         ).join(crowded, "anchor", "left"),
         "bodies",
     )
+    all_met(bodies.count(), contents.where("mixed").count(), "pieces of repeated anchors")
     buckets = 4 * shuffle_partitions(spark)
     runs = (
         bodies.where("crowded is null").select("anchor", "content", "body", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("k"))
@@ -281,10 +282,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     rows = rows.join(copies, "sha", "left").withColumn("whole", F.col("copies").isNotNull() & (F.col("n_bytes") >= width))
     wanted = cut(rows.where("not whole").select("_row", "th").join(spans, "th"), "wanted")
     done = map_batches(
-        maybe_in(texts.select("_body", "_row", "th"), wanted).join(wanted, ["_row", "th"]).select("_row", "_body", "spans"),
-        _removed, "_row bigint, cut_bytes bigint, cut_spans bigint, cut_sha string, cut array<struct<a:int,b:int>>",
+        maybe_in(texts.select("_body", "_row", "th"), wanted).join(wanted, ["_row", "th"]).select("_row", "th", "_body", "spans"),
+        _removed, "_row bigint, th bigint, cut_bytes bigint, cut_spans bigint, cut_sha string, cut array<struct<a:int,b:int>>",
     )
-    return rows.join(done, "_row", "left").select(
+    done = cut(done, "done")
+    all_met(done.count(), wanted.count(), "texts with repeats")
+    return rows.join(done, ["_row", "th"], "left").select(
         F.col("_key").alias(key),
         "n_bytes",
         F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("cut_bytes", F.lit(0))).cast("long").alias("n_removed"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import bitmap, in_bitmap, listed, table, without
+from veilspan.llm.common import bitmap, in_bitmap, listed, numbered, table, without
 from veilspan.llm.scratch import cut
 
 SPAN = 13
@@ -177,8 +177,10 @@ def summed(scanned: DataFrame, windows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    judged = find_overlaps(docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("th")), items, ["th"])
-    return without(docs, text, cut(judged.where("contaminated").select("_row", "th"), "gone"))
+    rows = numbered(docs, text)
+    judged = find_overlaps(rows.select(F.col(text).alias("text"), F.col("_row").alias("_at"), "th"), items, ["_at", "th"])
+    gone = judged.where("contaminated").select(F.col("_at").alias("_row"), "th")
+    return without(rows, docs.columns, cut(gone, "gone"))
 
 
 def op4_winnowing(spark, sf_dir: str) -> DataFrame:
