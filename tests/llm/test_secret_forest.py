@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from helpers import docs_frame
 
-from veilspan.llm.secret_forest import FEATURES, candidates, describe, find_candidates, grow, label_findings, op1_secret_forest, scan, train
+from veilspan.llm.secret_forest import FEATURES, candidates, corpus_dictionary, corpus_words, describe, find_candidates, grow, label_findings, op1_secret_forest, scan, train
 
 
 def test_candidates():
@@ -47,3 +47,12 @@ def test_planted_secrets(spark):
     planted = {r["doc_id"] for r in docs.where(r"text rlike 'AKIA[0-9A-Z]{16}|token = \"[0-9a-f]{40}\"|password=[0-9a-f]{18}'").collect()}
     got = {r["doc_id"] for r in op1_secret_forest(spark, d).where("is_secret").collect()}
     assert got == planted
+
+
+def test_dictionary_counts_all_documents(spark):
+    """More documents than a sample held: words of a small source count, whatever the corpus's size."""
+    rows = [(k, "common filler words") for k in range(12_000)] + [(20_000 + k, f"seldomword other{k}") for k in range(3)] + [(30_000, "onceonly")]
+    known = corpus_dictionary(docs_frame(spark, rows), "text")
+    assert all(w in known for w in ("common", "filler", "words", "seldomword")) and "onceonly" not in known
+    large = docs_frame(spark, rows).where("doc_id >= 20000").union(docs_frame(spark, [(0, "plenty")]).crossJoin(spark.range(80_000)).drop("id"))
+    assert {r["w"] for r in corpus_words(large, "text").collect()} == {"plenty"}

@@ -16,6 +16,8 @@ give repeated findings; without labelled findings of both kinds every candidate
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Container
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import map_batches, table
+from veilspan.llm.common import BITMAP_BITS, bitmap, map_batches, table
 from veilspan.llm.scratch import cut
 
 LEAST_LENGTH = 8
 MOST_FINDINGS = 20_000
-DICTIONARY_WORDS = 20_000
-DICTIONARY_DOCUMENTS = 5_000
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 1 / 20_000  # documents that hold a word of the dictionary
 TREES, DEPTH, LEAF = 40, 8, 3
 THRESHOLD = 0.5
 BESIDE = 40  # characters of context on either side
@@ -63,7 +64,7 @@ def candidates(text: str) -> list[tuple[int, str]]:
     return sorted(found.items())
 
 
-def describe(text: str, start: int, value: str, path: str, dictionary: frozenset[str]) -> list[float]:
+def describe(text: str, start: int, value: str, path: str, dictionary: Container[str]) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
@@ -157,16 +158,29 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 7) -> For
     return Forest(grown)
 
 
-def corpus_dictionary(docs: DataFrame, text: str) -> frozenset[str]:
-    """The DICTIONARY_WORDS words of letters that most documents of a sample hold."""
-    n = docs.count()
-    sample = docs.where((F.xxhash64(text) / F.lit(2.0**64)) + 0.5 < DICTIONARY_DOCUMENTS / max(n, 1))
+class Dictionary:
+    """Words by the bit of their CRC-32 in a bitmap of fixed size."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __contains__(self, word: str) -> bool:
+        at = zlib.crc32(word.encode()) & (BITMAP_BITS - 1)
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+
+def corpus_words(docs: DataFrame, text: str) -> DataFrame:
+    """Words (w) of letters that LEAST_DOCUMENTS documents hold, and LEAST_SHARE of all documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,20}"), F.lit(0)))
-    top = sample.select(F.explode(words).alias("w")).groupBy("w").count().where("count > 2").orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
-    return frozenset(r["w"] for r in top.select("w").collect())
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * docs.count())
+    return docs.select(F.explode(words).alias("w")).groupBy("w").count().where(F.col("count") >= least).select("w")
+
+
+def corpus_dictionary(docs: DataFrame, text: str) -> Dictionary:
+    return Dictionary(bitmap(corpus_words(docs, text).select(F.crc32(F.col("w").cast("binary")).alias("c")), "c"))
 
 
-def find_candidates(docs: DataFrame, dictionary: frozenset[str], key: str, text: str, path: str) -> DataFrame:
+def find_candidates(docs: DataFrame, dictionary: Container[str], key: str, text: str, path: str) -> DataFrame:
     """(key, path, start, value, x) for each candidate; x holds the FEATURES."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
     kind = docs.schema[key].dataType.simpleString()
