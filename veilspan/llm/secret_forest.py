@@ -34,15 +34,18 @@ LEAST_DOCUMENTS, LEAST_SHARE = 3, 1 / 20_000  # documents that hold a word of th
 TREES, DEPTH, LEAF = 40, 8, 3
 THRESHOLD = 0.5
 BESIDE = 40  # characters of context on either side
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{%d,}={0,2}(?![A-Za-z0-9+/_=-])" % LEAST_LENGTH)
-ASSIGNED = re.compile(r"\b([A-Za-z_]{2,30})\s*[:=]\s*[\"']?([^\s\"']{%d,200})" % LEAST_LENGTH)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{%d,}={0,2}(?![A-Za-z0-9+/_=-])" % LEAST_LENGTH)
+NAME = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{2,}+[\"']?\s*+[:=]\s*+[\"']?")
+#: Up to white space or a quote, or to the next name of a query string.
+ASSIGNED = re.compile(r"(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=))++")
+OPENERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 CREDENTIAL = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)")
 #: Shapes of well-known issuers, used for labels only.
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
 FEATURES = (
     "length", "digits", "capitals", "lower", "others", "class_changes", "same_class_run", "letter_digit_changes",
     "entropy", "hex", "vowels", "dictionary", "longest_word", "credential_before", "assignment", "quoted",
-    "words_before_known", "path_depth", "path_is_code", "path_is_text",
+    "words_before_known", "path_depth", "path_is_code", "path_is_text", "words_after_known", "credential_after",
 )
 _CODE = re.compile(r"(?i)\.(?:py|js|ts|java|go|rs|c|cpp|rb|php|sh|ya?ml|json|toml|ini|cfg|conf|env|properties|xml|tf)$")
 _PROSE = re.compile(r"(?i)\.(?:md|txt|rst|html?|csv|log)$")
@@ -56,14 +59,26 @@ def candidates(text: str) -> list[tuple[int, str]]:
         value = m[0].strip(".-/")
         if len(value) >= LEAST_LENGTH and (any(c.isdigit() for c in value) or (value[1:] != value[1:].lower() and value != value.upper())):
             found[m.start() + m[0].find(value)] = value
-    for m in ASSIGNED.finditer(text):
-        if CREDENTIAL.search(m[1]):
-            value = m[2].rstrip(".,;")
-            if len(value) >= LEAST_LENGTH:
-                found[m.start(2)] = value
+    end = 0
+    for m in NAME.finditer(text):
+        if m.start() >= end and CREDENTIAL.search(m[0]) and (body := ASSIGNED.match(text, m.end())):
+            value, end = _unclosed(body[0]), body.end()
+            if len(value) >= max(LEAST_LENGTH, len(found.get(m.end(), ""))):
+                found[m.end()] = value
     return sorted(found.items())
 
 
+def _unclosed(value: str) -> str:
+    """The value without marks of the sentence at its end and brackets that were opened before it."""
+    counts = {c: value.count(c) for pair in OPENERS.items() for c in pair}
+    end = len(value)
+    while end and (value[end - 1] in ".,;" or counts.get(OPENERS.get(value[end - 1], ""), end) < counts.get(value[end - 1], 0)):
+        if value[end - 1] in counts:
+            counts[value[end - 1]] -= 1
+        end -= 1
+    return value[:end]
+
+
 def describe(text: str, start: int, value: str, path: str, dictionary: Container[str]) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
@@ -83,12 +98,15 @@ def describe(text: str, start: int, value: str, path: str, dictionary: Container
     before = text[max(0, start - BESIDE) : start]
     near = before[-24:]
     words = [w.lower() for w in _LETTERS.findall(before)]
+    after = text[start + n : start + n + BESIDE]
+    words_after = [w.lower() for w in _LETTERS.findall(after)]
     return [
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n, changes / n, longest / n, mixed / n,
         float(-(counts * np.log2(counts)).sum()), float(all(c in "0123456789abcdefABCDEF" for c in value)),
         sum(c in "aeiouAEIOU" for c in value) / n, covered / n, best, float(bool(CREDENTIAL.search(near))),
         float(bool(re.search(r"[:=]\s*[\"']?$", near))), float(near[-1:] in "\"'" and bool(near)),
         sum(w in dictionary for w in words) / max(len(words), 1), path.count("/"), float(bool(_CODE.search(path))), float(bool(_PROSE.search(path))),
+        sum(w in dictionary for w in words_after) / max(len(words_after), 1), float(bool(CREDENTIAL.search(after))),
     ]
 
 
@@ -210,7 +228,7 @@ def find_candidates(docs: DataFrame, dictionary: Container[str], key: str, text:
 def label_findings(found: DataFrame) -> DataFrame:
     """Candidates with is_secret: an issuer's shape, or a digit-bearing value assigned to a credential word."""
     issued = F.col("value").rlike(f"^(?:{ISSUED.pattern})$")
-    assigned = F.col("before").rlike(CREDENTIAL.pattern + r"\w*\s*[:=]\s*[\"']?$") & F.col("value").rlike("[0-9]")
+    assigned = F.col("before").rlike(CREDENTIAL.pattern + r"\w*[\"']?\s*[:=]\s*[\"']?$") & F.col("value").rlike("[0-9]")
     placeholder = F.lower("value").rlike(r"example|sample|changeme|placeholder|your|x{6,}|0{8,}|1234567")
     return found.withColumn("is_secret", (issued | assigned) & ~placeholder)
 
