@@ -290,3 +290,21 @@ def test_stream_gives_the_batch_result_once(spark, folder, tmp_path):
     got = spark.read.parquet(out).drop("batch")
     assert sorted(map(str, got.collect())) == sorted(map(str, scan_directory(spark, str(root)).collect()))
     assert got.count() == 8
+
+
+def test_long_files_do_not_end_the_scan(spark, tmp_path, monkeypatch):
+    """Long clashing Parquet files are read in splits; longer JSON files than a value are left out."""
+    from veilspan.sources import tables
+
+    for i, (value, kind) in enumerate([("x@site.org", "v string"), (5, "v bigint"), ("y@site.org", "v string"), (7, "v bigint")]):
+        spark.createDataFrame([(value,)], kind).toPandas().to_parquet(tmp_path / f"{i} [a]%20.parquet")
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet at all")
+    whole = sorted((r["path"], r["size"], r["text"]) for r in tables.parquet_rows_any_schema(spark, str(tmp_path), "*.parquet").collect())
+    monkeypatch.setattr(tables, "LONGEST_OPENED", 0)
+    df = tables.parquet_rows_any_schema(spark, str(tmp_path), "*.parquet")
+    assert sorted((r["path"], r["size"], r["text"]) for r in df.collect()) == whole and len(whole) == 4
+    assert len(df.inputFiles()) >= 4 and df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+    (tmp_path / "short.json").write_text('{"a": "b"}')
+    (tmp_path / "long.json").write_text('{"a": "' + "c" * 200 + '"}')
+    monkeypatch.setattr(tables, "LONGEST_VALUE", 100)
+    assert [r["text"] for r in tables.json_records(spark, str(tmp_path), "*.json").collect()] == ["b"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -17,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.functions.sqltext import let, quoted
 from veilspan.functions.text import decode_text, row_text
-from veilspan.sources.listing import file_columns
+from veilspan.sources.listing import LONGEST_VALUE, file_columns
+
+
+# Clashing Parquet files up to this length are opened as single values.
+LONGEST_OPENED = 1 << 28
 
 
 def any_case(*suffixes: str) -> str:
@@ -138,7 +143,7 @@ def json_texts(body: str) -> Iterator[str]:
 
 def json_records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """Rows (path, size, mtime, text) of JSON documents, one per record; see json_texts."""
-    files = _reader(spark, glob).format("binaryFile").load(paths)
+    files = _reader(spark, glob).format("binaryFile").load(paths).where(f"length <= {LONGEST_VALUE}")
     bodies = files.selectExpr(*file_columns(), f"{decode_text('content')} as body")
 
     def parsed(batches):
@@ -179,8 +184,8 @@ def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: s
     """Row texts of all Parquet files, whatever their schemas; None where there is no such file.
 
     Files are read through one merged schema.  Where the types of two files clash no common schema
-    exists: each file is then opened as it is, record batch by record batch, in one plan for any
-    number of files.  A file that is not Parquet at all gives no rows, as any unreadable file does.
+    exists: files up to LONGEST_OPENED are then opened as they are, record batch by record batch, in one
+    plan for any number of files; longer ones are read in splits, by one reader a schema.  A file that is not Parquet at all gives no rows, as any unreadable file does.
     """
     table = _reader(spark, glob).option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
     paths = [paths] if isinstance(paths, str) else paths
@@ -192,7 +197,8 @@ def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: s
             return None
         if "CANNOT_MERGE" not in str(error):
             raise
-    files = _reader(spark, glob).format("binaryFile").load(paths).selectExpr(*file_columns(), "content")
+    listed = _reader(spark, glob).format("binaryFile").load(paths)
+    files = listed.where(f"length <= {LONGEST_OPENED}").selectExpr(*file_columns(), "content")
 
     def opened(batches):
         for batch in batches:
@@ -207,7 +213,22 @@ def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: s
                     held = [pa.array(one.column(c).to_pylist() * len(texts), one.column(c).type) for c in ("path", "size", "mtime")]
                     yield pa.RecordBatch.from_arrays([*held, pa.array(texts, pa.string())], names=["path", "size", "mtime", "text"])
 
-    return files.mapInArrow(opened, "path string, size bigint, mtime timestamp_ntz, text string")
+    out = files.mapInArrow(opened, "path string, size bigint, mtime timestamp_ntz, text string")
+    long = [r["path"] for r in listed.where(f"length > {LONGEST_OPENED}").selectExpr(*file_columns()).collect()]
+    return reduce(DataFrame.unionByName, _by_schema(spark, long), out)
+
+
+def _by_schema(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """Row texts of Parquet files, one result for the files of each schema; unreadable files are left out."""
+    same: dict[str, list[str]] = {}
+    for name in (re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in files):
+        try:
+            same.setdefault(spark.read.parquet(name).schema.json(), []).append(name)
+        except Exception as error:
+            if "CANNOT_READ_FILE_FOOTER" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                raise
+    tables = (spark.read.option("ignoreCorruptFiles", "true").parquet(*names) for names in same.values())
+    return [t.selectExpr(*file_columns(), f"{row_text(t)} as text") for t in tables]
 
 
 def _plain(value) -> str | None:
