@@ -34,3 +34,7 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_all_twins_are_texts():
+    assert all(isinstance(sql, str) for sql in entry_points.oracle_sql().values())

@@ -20,6 +20,5 @@ QUERIES = {
 SQL = {
     "op4_winnowing": winnowing.OP4_SQL,
     "op6_grouped_prefix": jaccard_join.OP6_SQL,
-    "op7_tree_scoring": tree_scoring.op7_tree_scoring,
     "op8_source_mix": mixing.OP8_SQL,
 }
