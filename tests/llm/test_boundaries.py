@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from helpers import docs_frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,8 +67,10 @@ def test_rate_and_clashing_names(spark):
     docs = docs_frame(spark, [(k, "one\ntwo\nthree") for k in range(300)])
     plain = transform(docs, "doc_id", rate=30).where("form = 'plain'").count()
     assert 180 < plain < 240
-    with pytest.raises(ValueError, match="form"):
-        transform(docs.withColumnRenamed("lang", "form"), "doc_id")
+    clash = docs.withColumnsRenamed({"lang": "form", "source": "draws", "size": "OUTPUT"})
+    got = transform(clash, "doc_id")
+    assert got.columns[:6] == ["doc_id", "input_form", "draws", "n_chars", "input_OUTPUT", "root"]
+    assert got.where("draws = 'src' || doc_id % 3 and input_OUTPUT = 'x' and length(output) > 10").count() == 300
 
 
 def test_empty_table(spark):

@@ -11,7 +11,8 @@ cuts, whether it is transformed, and the order of the parts.
 
 Defined results: null texts are empty; empty texts, and texts that hold a marker, stay plain; a null key
 hashes as ``seed:``; equal cuts give an empty middle; repeated rows get the same cuts.  One text may be
-as long as Spark's strings are.  Columns of the input that have the name of a result column end the run.
+as long as Spark's strings are.  Input columns with the names of result columns come back as
+``input_<name>``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import map_batches, table
+from veilspan.llm.common import free_name, map_batches, set_aside, table
 
 SEED = 7
 RATE = 100  # percent of texts that are transformed
@@ -133,9 +134,8 @@ def draws(key: Column, seed: int = SEED) -> Column:
 
 def transform(docs: DataFrame, key: str, text: str = "text", seed: int = SEED, rate: int = RATE, spm: int = SPM, markers: Markers = MARKERS) -> DataFrame:
     """Every row with n_lines, form, prefix_chars, middle_chars and output in place of its text."""
-    others = [c for c in docs.columns if c != text]
-    if clash := {"n_lines", "form", "prefix_chars", "middle_chars", "output", "_draws"} & set(others):
-        raise ValueError(f"columns named as results: {sorted(clash)}")
+    docs = set_aside(docs, ["n_lines", "form", "prefix_chars", "middle_chars", "output"], key, text)
+    others, drawn_name = [c for c in docs.columns if c != text], free_name(docs, "draws")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*(F.col(f"`{c}`") for c in others)).schema)
     p, s, m = (x.encode() for x in markers)
     holds_marker = "|".join(markers)
@@ -143,7 +143,7 @@ def transform(docs: DataFrame, key: str, text: str = "text", seed: int = SEED, r
     def run(batch):
         texts = batch.column(text).fill_null("")
         marked = pc.match_substring_regex(texts, holds_marker).to_numpy(zero_copy_only=False)
-        drawn = np.asarray(batch.column("_draws").flatten(), np.int64).reshape(-1, 4)
+        drawn = np.asarray(batch.column(drawn_name).flatten(), np.int64).reshape(-1, 4)
         for first, end, data, offsets in tk.slices(texts):
             n, a, b = cut_offsets(data, offsets, drawn[first:end, :2])
             plain = marked[first:end] | (np.diff(offsets) == 0) | (drawn[first:end, 2] % 100 >= rate)
@@ -170,7 +170,7 @@ def transform(docs: DataFrame, key: str, text: str = "text", seed: int = SEED, r
                 names=[*others, "n_lines", "form", "prefix_chars", "middle_chars", "output"],
             )
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in others), text, draws(F.col(f"`{key}`"), seed).alias("_draws"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in [*others, text]), draws(F.col(f"`{key}`"), seed).alias(drawn_name))
     return map_batches(rows, run, f"{kept}n_lines bigint, form string, prefix_chars bigint, middle_chars bigint, output string")
 
 

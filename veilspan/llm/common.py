@@ -151,3 +151,19 @@ def label_sample(labels: DataFrame, key: str, label: str, most: int, balanced: b
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, most / len(counts) / n if balanced else most / total)))
     drawn = (F.xxhash64(F.col(key)) / F.lit(2.0**64)) + 0.5
     return known.where(drawn < share[F.col(label)]).limit(2 * most)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first of ``input_name``, ``input_input_name`` and so on that no column has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"input_{name}"
+    return name
+
+
+def set_aside(df: DataFrame, results: list[str], *used: str) -> DataFrame:
+    """Give input columns named like result columns another name (``input_<name>``); those in ``used`` stay."""
+    wanted = {r.lower() for r in results}
+    for c in [c for c in df.columns if c.lower() in wanted and c not in used]:
+        df = df.withColumnRenamed(c, free_name(df, c))
+    return df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspan.llm import boundaries, hash_tree, jaccard_join, language_filters, line_crf, mixing, run_length_index, secret_forest, tree_scoring, weak_toxicity, winnowing
+from veilspan.llm import boundaries, hash_tree, jaccard_join, language_filters, line_crf, mixing, rule_ensemble, run_length_index, secret_forest, tree_scoring, weak_toxicity, winnowing
 
 QUERIES = {
     "op1_secret_forest": secret_forest.op1_secret_forest,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_filters": language_filters.op9_language_filters,
     "op10_hash_tree": hash_tree.op10_hash_tree,
     "op12_boundary_set": boundaries.op12_boundary_set,
+    "op13_rule_ensemble": rule_ensemble.op13_rule_ensemble,
 }
 
 SQL = {
