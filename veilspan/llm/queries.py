@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspan.llm import boundaries, hash_tree, jaccard_join, language_filters, line_crf, mixing, rule_ensemble, run_length_index, secret_forest, tree_scoring, weak_toxicity, winnowing
+from veilspan.llm import boundaries, hash_tree, jaccard_join, language_filters, line_crf, mixing, rule_ensemble, run_length_index, secret_forest, spelling, tree_scoring, weak_toxicity, winnowing
 
 QUERIES = {
     "op1_secret_forest": secret_forest.op1_secret_forest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_filters": language_filters.op9_language_filters,
     "op10_hash_tree": hash_tree.op10_hash_tree,
+    "op11_sorted_variants": spelling.op11_sorted_variants,
     "op12_boundary_set": boundaries.op12_boundary_set,
     "op13_rule_ensemble": rule_ensemble.op13_rule_ensemble,
 }
@@ -23,5 +24,6 @@ SQL = {
     "op4_winnowing": winnowing.OP4_SQL,
     "op6_grouped_prefix": jaccard_join.OP6_SQL,
     "op8_source_mix": mixing.OP8_SQL,
+    "op11_sorted_variants": spelling.OP11_SQL,
     "op12_boundary_set": boundaries.OP12_SQL,
 }

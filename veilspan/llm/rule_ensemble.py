@@ -306,8 +306,8 @@ def train(rows: DataFrame) -> RuleModel:
     if not n:
         return RuleModel(0.0)
     drawn = F.coalesce(F.xxhash64("key") / F.lit(2.0**64), F.lit(0.0)) + 0.5
-    sample = known.where(drawn < MOST_ROWS / n).limit(2 * MOST_ROWS)
-    got = described(sample.select("quality", "text"), "text", "told").select("quality", "told.*").toArrow()
+    sample = known.where(drawn < MOST_ROWS / n).select("quality", "text")
+    got = described(sample, "text", "told").select("quality", "told.*").limit(2 * MOST_ROWS).toArrow()
     table_ = np.stack([np.asarray(got.column(c).to_numpy(), float) for c in ("quality", *STATISTICS)], 1)
     table_ = table_[np.lexsort(table_.T)]
     # Neighbours in that order are alike; a fixed shuffle spreads them over the parts of the fit.
