@@ -123,7 +123,7 @@ def scan_json(spark, sf_dir):
     listed.where("k between 10 and 19").select(F.format_string("[%s]", "v").alias("value")).write.format("text").save(f"{path}/arrays")
     listed.where("k > 19").select(F.format_string('{"rows": [%s]}', "v").alias("value")).write.format("text").save(f"{path}/objects")
     folders = [f"{path}/{x}" for x in ("lines", "arrays", "objects")]
-    return tables.json_records(spark, folders).select("text")
+    return tables.json_records(spark, folders, tables.any_case(".txt")).select("text")
 
 
 def scan_parquet(spark, sf_dir):

@@ -3,47 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspan.operators.detect import findings
 from veilspan.operators.profile import profile_files, profile_rows
-from veilspan.sources.directory import table_rows, whole_files
-from veilspan.sources.listing import LONGEST_VALUE, family, list_files, skipped_name, status, visible
+from veilspan.sources.directory import Directory
+from veilspan.sources.listing import status, visible
 from veilspan.sources.reports import detailed_report, summary_report, write_report
 
 
 def scan_directory(spark: SparkSession, root: str | list[str], categories=None) -> DataFrame:
-    """Profile of every file below a directory, or of the named files, that holds personal data."""
-    files = profile_files(whole_files(spark, root), categories=categories)
-    tables = profile_rows(table_rows(spark, root), categories=categories)
-    return files.unionByName(tables)
+    """Profile of every file below a directory, or of the named files, that holds personal data.
+
+    Files that cannot be read are left out; scan_errors names them.
+    """
+    found = Directory(spark, root)
+    return profile_files(found.whole(), categories=categories).unionByName(profile_rows(found.parts(), categories=categories))
 
 
-def scan_findings(spark: SparkSession, root: str, categories=None) -> DataFrame:
+def scan_findings(spark: SparkSession, root: str | list[str], categories=None) -> DataFrame:
     """Every match below a directory; positions count from the start of the file
     or, in a table, of the record."""
-    corpus = whole_files(spark, root).unionByName(table_rows(spark, root))
-    return findings(corpus, ["path", "name"], categories=categories)
+    return findings_of(Directory(spark, root), categories)
 
 
-def scan_status(spark: SparkSession, root: str) -> DataFrame:
-    """Every listed file with its family and why it has, or has not, text.
+def findings_of(directory: Directory, categories=None) -> DataFrame:
+    found = findings(directory.rows(), ["path", "name", "at"], categories=categories)
+    return found.withColumn("position", found["position"] + found["at"]).drop("at")
 
-    Files that no reader opens are named: ``skipped_name`` for names that start with an underscore
-    or a dot, or lie in such a folder, and ``too_long`` for text beyond the longest value.
-    """
-    listed = list_files(spark, root).selectExpr(
-        "*", f"{family('path')} as family", f"{skipped_name('path', root)} as hidden"
-    )
-    corpus = whole_files(spark, root).unionByName(table_rows(spark, root))
+
+def scan_errors(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Files that cannot be read, with the reason: path, name, error."""
+    failed = Directory(spark, root).rows().where("error is not null")
+    return failed.groupBy("path", "name").agg(F.min("error").alias("error"))
+
+
+def scan_status(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Every listed file with its family, why it has, or has not, text, and what went wrong (status ``failed``)."""
+    found = Directory(spark, root)
     # Keep a short witness of visible text per row, never the text itself.
-    witness = corpus.selectExpr(
-        "path", f"case when {visible('text')} then 'x' else '' end as seen"
-    ).groupBy("path").agg({"seen": "max"}).withColumnRenamed("max(seen)", "seen")
-    too_long = f"family in ('text', 'html', 'json') and size > {LONGEST_VALUE}"
-    return listed.join(witness, "path", "left").selectExpr(
+    witness = (
+        found.rows()
+        .selectExpr("path", f"case when {visible('text')} then 'x' else '' end as seen", "error")
+        .groupBy("path")
+        .agg(F.max("seen").alias("seen"), F.min("error").alias("error"))
+    )
+    return found.files.join(witness, "path", "left").selectExpr(
         "path", "name", "size", "format", "family",
-        f"case when hidden then 'skipped_name' when {too_long} then 'too_long' "
-        f"else {status('family', 'seen')} end as status",
+        f"case when error is not null then 'failed' else {status('family', 'seen')} end as status", "error",
     )
 
 

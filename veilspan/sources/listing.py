@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veilspan.functions.patterns import SPACE
 from veilspan.functions.sqltext import quoted
+from veilspan.plans.runtime import scratch_path
+from veilspan.sources.store import entries, reachable
 
 # --- fixed values: file families, first match wins ------------------------
 FAMILIES = [
@@ -24,8 +27,6 @@ FAMILIES = [
 ]
 # Families whose text Spark extracts; the others are listed but not read.
 EXTRACTED = ("text", "csv", "json", "parquet", "html")
-# The longest value of a binary column.
-LONGEST_VALUE = (1 << 31) - 1
 # --- fixed values: suffix groups of the report dimension ------------------
 SUFFIX_GROUPS = [
     ("documents", [".pdf", ".doc", ".docx", ".rtf", ".xls", ".xlsx"]),
@@ -96,65 +97,47 @@ def file_columns() -> list[str]:
     ]
 
 
-class _FolderWalk(DataSource):
-    """Files below a folder with any name, walked by the executors: one task per entry of the folder."""
+_FOUND = "path string, folder boolean, size bigint, mtime timestamp"
+#: Folders that one task expands at most before more tasks share a level.
+FOLDERS_A_TASK = 256
 
-    @classmethod
-    def name(cls) -> str:
-        return "veilspan_folder_walk"
 
-    def schema(self) -> str:
-        return "path string, size bigint, mtime timestamp"
+def _expand(batches):
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            found = iter(entries(path))
+            while part := list(islice(found, 10_000)):
+                columns = zip(*part)
+                kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "folder", "size", "mtime"])
 
-    def reader(self, schema):
-        return _FolderReader(self.options["path"])
 
+def expanded(folders: DataFrame, n: int) -> DataFrame:
+    """What n folders hold, expanded by tasks that get an equal number of them."""
+    cores = folders.sparkSession.sparkContext.defaultParallelism
+    return folders.select("path").repartition(max(1, min(n, max(cores, n // FOLDERS_A_TASK)))).mapInArrow(_expand, _FOUND)
 
-class _FolderReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
 
-    def _open(self):
-        from pyarrow import fs  # in the task only: it starts threads of its own
+def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Every file below folders, or the named files, whatever their names: path, size, mtime, name, format.
 
-        if "://" in self.path or self.path.startswith("file:"):
-            uri = re.sub("^file:/*", "file:///", self.path)
-            return fs.FileSystem.from_uri(uri)
-        return fs.LocalFileSystem(), self.path
-
-    def partitions(self):
-        from pyarrow import fs
-
-        store, root = self._open()
-        if store.get_file_info(root).is_file:
-            return [InputPartition(root)]
-        return [InputPartition(x.path) for x in store.get_file_info(fs.FileSelector(root))] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        from pyarrow import fs
-
-        store, _ = self._open()
-        found = store.get_file_info(partition.value)
-        below = [found] if found.is_file else store.get_file_info(fs.FileSelector(found.path, recursive=True))
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else "file:"
-        for f in below:
-            if f.is_file:
-                yield f"{scheme}{f.path}", f.size, f.mtime
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a directory, whatever its name: path, size, mtime, name, format.
-
-    Only metadata is read, never content.
+    Folders are expanded level by level, one Spark job a level with its folders dealt out evenly, so
+    no task holds a whole subtree.  The list is kept in the shared scratch folder.  Only metadata is read, never
+    content.  Stores that only Spark opens are listed by its file source, which passes over names that
+    begin with an underscore or a dot.
     """
-    spark.dataSource.register(_FolderWalk)
-    files = spark.read.format("veilspan_folder_walk").load(root)
+    roots = [root] if isinstance(root, str) else list(root)
+    if not all(reachable(r) for r in roots):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+        return with_metadata(listed.selectExpr("path", "length as size", "cast(modificationTime as timestamp_ntz) as mtime"))
+    levels, n = [], len(roots)
+    folders = spark.createDataFrame(pa.table({"path": pa.array(roots, pa.string())}))
+    while n:
+        at = scratch_path(spark, "listing")
+        expanded(folders, n).write.parquet(at)
+        found = spark.read.schema(_FOUND).parquet(at)
+        levels.append(found.where("not folder"))
+        folders = found.where("folder")
+        n = folders.count()
+    files = reduce(DataFrame.unionByName, levels)
     return with_metadata(files.selectExpr("path", "size", "cast(mtime as timestamp_ntz) as mtime"))
-
-
-def skipped_name(path: str, root: str) -> str:
-    """Whether Spark's file sources pass over a path below a root: a part starts with an underscore or a dot."""
-    below = f"substr({path}, instr({path}, {quoted(root.rstrip('/').split('://')[-1].removeprefix('file:'))}) + {len(root.rstrip('/').split('://')[-1].removeprefix('file:'))})"
-    return f"rlike({below}, '/[._]')"

@@ -1,28 +1,25 @@
 """Table formats to row texts: one output row per record, not one per file.
 
 A record is scanned on its own, so a match cannot run from one record into the
-next.
+next.  Files are read in pieces by many tasks, whatever their length and names; see ranges.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
+from fnmatch import translate
 
 import pyarrow as pa
-from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.functions.sqltext import let, quoted
-from veilspan.functions.text import decode_text, row_text
-from veilspan.sources.listing import LONGEST_VALUE, file_columns
+from veilspan.functions.sqltext import quoted
+from veilspan.functions.text import row_text
+from veilspan.sources.contents import contents, parquet_contents
+from veilspan.sources.formats import csv_text, json_texts, row_texts  # noqa: F401
+from veilspan.sources.listing import family, file_columns, list_files
+from veilspan.sources.ranges import split_bytes, to_read
+from veilspan.sources.store import reachable
 
-
-# Clashing Parquet files up to this length are opened as single values.
-LONGEST_OPENED = 1 << 28
+_COLUMNS = ["path", "size", "mtime", "at", "text", "error"]
 
 
 def any_case(*suffixes: str) -> str:
@@ -33,39 +30,51 @@ def any_case(*suffixes: str) -> str:
     return "*{" + ",".join(letters(s) for s in suffixes) + "}"
 
 
-def _reader(spark: SparkSession, glob: str | None):
-    reader = spark.read.option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", glob) if glob else reader
+def _named(files: DataFrame, glob: str | None) -> DataFrame:
+    """The files whose names match a glob; all without one."""
+    if not glob:
+        return files
+    start, _, rest = glob.partition("{")
+    choices, _, end = rest.partition("}")
+    tests = [translate(start + c + end).removesuffix(r"\Z").removesuffix(r"\z") for c in choices.split(",")]
+    return files.where(f"rlike(name, {quoted('^(?:' + '|'.join(tests) + ')$')})")
+
+
+def opened_by_spark(spark: SparkSession, paths: str | list[str], families: tuple[str, ...]) -> DataFrame:
+    """What to read of a store that only Spark opens: whole files with their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    kept = ", ".join(map(repr, families))
+    return files.selectExpr(
+        "path", "length as size", "cast(modificationTime as timestamp_ntz) as mtime", f"{family('path')} as family", "regexp_extract(path, '[^/]*$', 0) as name", "0L as begin",
+        "length as end", "cast(null as string) as encoding", "0L as before", "false as inside", "cast(null as string) as error", "content",
+    ).where(f"family in ({kept})")
+
+
+def _read(spark: SparkSession, paths: str | list[str], glob: str | None, kind: str) -> DataFrame:
+    """Contents of the files that have the name, or without one of those of the family, all read as one family."""
+    if all(reachable(p) for p in ([paths] if isinstance(paths, str) else paths)):
+        files = _named(list_files(spark, paths), glob).selectExpr("path", "size", "mtime", f"'{kind}' as family")
+        rows = to_read(files).selectExpr("*", "cast(null as binary) as content")
+    else:
+        rows = _named(opened_by_spark(spark, paths, (kind,)), glob).drop("name")
+    return contents(rows)
+
+
+def record_texts(rows: DataFrame) -> DataFrame:
+    """Contents with the text of every row: path, size, mtime, at, text, error; records without any are left out."""
+    text = f"case when family = 'csv' then {csv_text('record')} else text end"
+    return rows.selectExpr("path", "size", "mtime", "at", f"{text} as text", "error", "family").where(
+        "error is not null or family <> 'csv' or text <> ''"
+    ).select(_COLUMNS)
 
 
 def csv_rows(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """Rows (path, size, mtime, text) of CSV files with any mix of headers and widths.
+    """Rows (path, size, mtime, at, text, error) of CSV files with any mix of headers, widths and line ends.
 
-    The first line of a file is a row like any other.  The reader is told of one column, so a
-    record of several cells comes as a whole, with line breaks inside quotes, and is cut here.
-    Bytes are read as Latin-1, which keeps each of them, and every record is then decoded by the
-    usual order of encodings.  Nothing is read before the action.
+    The first line of a file is a row like any other, and line breaks inside quotes belong to their
+    record.  Each record is decoded by itself.
     """
-    table = (
-        _reader(spark, glob)
-        .schema("cell string, record string")
-        .option("encoding", "ISO-8859-1")
-        .option("escape", '"')
-        .option("multiLine", "true")
-        .option("maxColumns", "1000000")
-        .option("columnNameOfCorruptRecord", "record")
-        .csv(paths)
-    )
-    # A cell starts at a separator: a quoted part and what follows it, or no quote at the start.
-    cell = r'(?:^|,)("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
-    plain = (
-        "case when startswith(x, '\"') then replace(regexp_replace(x, '(?s)^\"(.*)\"([^\"]*)$', '$1$2'), '\"\"', '\"') "
-        "else x end"
-    )
-    cells = f"transform(regexp_extract_all(rtrim('\\r\\n', record), {quoted(cell)}, 1), x -> {plain})"
-    joined = f"case when record is null then cell else array_join(filter({cells}, x -> x <> ''), ' ') end"
-    text = let("b", f"encode({joined}, 'ISO-8859-1')", decode_text("b"))
-    return table.selectExpr(*file_columns(), f"{text} as text").where("text is not null")
+    return record_texts(_read(spark, paths, glob, "csv"))
 
 
 def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -76,86 +85,13 @@ def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
 
-class _Written(str):
-    """A number or constant as it stands in the document."""
-
-
-def _cell(value) -> str:
-    """A JSON value as cell text: scalars as written, null empty, the rest as JSON."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return value if isinstance(value, str) else _json(value)
-
-
-def _json(value) -> str:
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_json, value)) + "]"
-    if isinstance(value, str):
-        return str(value) if isinstance(value, _Written) else json.dumps(value, ensure_ascii=False)
-    return json.dumps(value)
-
-
-def _record_texts(record) -> list[str]:
-    """A record's own cells, then one text for each object inside an array of it."""
-    if not isinstance(record, dict):
-        return [_cell(record)]
-    inner = [x for v in record.values() if isinstance(v, list) for x in v if isinstance(x, dict)]
-    own = [v for v in record.values() if not (isinstance(v, list) and any(isinstance(x, dict) for x in v))]
-    return [" ".join(c for c in map(_cell, own) if c), *(" ".join(c for c in map(_cell, x.values()) if c) for x in inner)]
-
-
-_DECODER = json.JSONDecoder(parse_float=_Written, parse_int=_Written, parse_constant=_Written, strict=False)
-_BLANK = re.compile(r"[ \t\n\r\ufeff]*")
-
-
-def json_texts(body: str) -> Iterator[str]:
-    """Texts of a document's records: an array's elements, or values one after another.
-
-    Values are parsed one by one.  What does not parse, to the next line that does, is a text
-    as it stands, so nothing is lost to a bad token.  Of equal keys the last counts, and NaN and
-    infinities are accepted.
-    """
-    at, end, inside = _BLANK.match(body).end(), len(body), False
-    if body.startswith("[", at):
-        at, inside = _BLANK.match(body, at + 1).end(), True
-    while at < end:
-        if inside and body[at] in ",]":
-            inside = body[at] == ","
-            at = _BLANK.match(body, at + 1).end()
-            continue
-        value = None
-        try:
-            value, stop = _DECODER.raw_decode(body, at)
-            texts = _record_texts(value)
-        except (ValueError, RecursionError):
-            stop = body.find("\n", at)
-            stop = end if stop < 0 else stop + 1
-            texts = [body[at:stop].strip()]
-        if not inside and isinstance(value, list) and texts:
-            texts = [t for x in value for t in _record_texts(x)]
-        yield from (t for t in texts if t)
-        at = _BLANK.match(body, stop).end()
-
-
 def json_records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """Rows (path, size, mtime, text) of JSON documents, one per record; see json_texts."""
-    files = _reader(spark, glob).format("binaryFile").load(paths).where(f"length <= {LONGEST_VALUE}")
-    bodies = files.selectExpr(*file_columns(), f"{decode_text('content')} as body")
+    """Rows (path, size, mtime, at, text, error) of JSON documents, one per record; see json_texts.
 
-    def parsed(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                texts = json_texts(one.column("body")[0].as_py() or "")
-                while part := list(islice(texts, 4096)):
-                    held = [pa.array(one.column(c).to_pylist() * len(part), one.column(c).type) for c in ("path", "size", "mtime")]
-                    yield pa.RecordBatch.from_arrays([*held, pa.array(part, pa.string())], names=["path", "size", "mtime", "text"])
-
-    return bodies.mapInArrow(parsed, "path string, size bigint, mtime timestamp_ntz, text string")
+    Arrays and values one after another are cut into pieces; a value that is longer than a piece is read
+    whole.  A document whose quotes or brackets do not pair may be cut elsewhere; all of it is read.
+    """
+    return record_texts(_read(spark, paths, glob, "json"))
 
 
 def json_table(
@@ -176,73 +112,45 @@ def parquet_rows(
     spark: SparkSession, path: str, columns: list[str] | None = None, glob: str | None = None
 ) -> DataFrame:
     """Row texts of Parquet files of one table; name the columns to read only those."""
-    table = _reader(spark, glob).parquet(path)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    table = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
     return table.selectExpr(*file_columns(), f"{row_text(table, columns)} as text")
 
 
-def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame | None:
-    """Row texts of all Parquet files, whatever their schemas; None where there is no such file.
+def parquet_texts(spark: SparkSession, paths: str | list[str], files: DataFrame | None) -> DataFrame | None:
+    """Contents of Parquet files of any mix of schemas; None where a store that only Spark opens has none.
 
-    Files are read through one merged schema.  Where the types of two files clash no common schema
-    exists: files up to LONGEST_OPENED are then opened as they are, record batch by record batch, in one
-    plan for any number of files; longer ones are read in splits, by one reader a schema.  A file that is not Parquet at all gives no rows, as any unreadable file does.
+    Cells are written in the same way for every file.  Row groups are dealt to tasks, so neither the number
+    of files and schemas nor the length of one matters.
     """
-    table = _reader(spark, glob).option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
-    paths = [paths] if isinstance(paths, str) else paths
+    if files is not None:
+        return parquet_contents(files, split_bytes(spark))
+    reader = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
     try:
-        found = table.parquet(*paths)
-        return found.selectExpr(*file_columns(), f"{row_text(found)} as text")
+        found = reader.option("pathGlobFilter", any_case(".parquet")).parquet(*([paths] if isinstance(paths, str) else paths))
     except Exception as error:
         if "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
-        if "CANNOT_MERGE" not in str(error):
-            raise
-    listed = _reader(spark, glob).format("binaryFile").load(paths)
-    files = listed.where(f"length <= {LONGEST_OPENED}").selectExpr(*file_columns(), "content")
+        raise
+    meta = ["_path", "_size", "_mtime"]
+    given = found.selectExpr(*(f"{c.rpartition(' as ')[0]} as {m}" for c, m in zip(file_columns(), meta)), "*")
 
-    def opened(batches):
+    def written(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                try:
-                    parts = ParquetFile(pa.BufferReader(one.column("content")[0].as_buffer())).iter_batches(4096)
-                except pa.ArrowInvalid:
-                    continue
-                for part in parts:
-                    texts = [" ".join(c for c in map(_plain, row) if c is not None) for row in zip(*(c.to_pylist() for c in part.columns))]
-                    held = [pa.array(one.column(c).to_pylist() * len(texts), one.column(c).type) for c in ("path", "size", "mtime")]
-                    yield pa.RecordBatch.from_arrays([*held, pa.array(texts, pa.string())], names=["path", "size", "mtime", "text"])
-
-    out = files.mapInArrow(opened, "path string, size bigint, mtime timestamp_ntz, text string")
-    long = [r["path"] for r in listed.where(f"length > {LONGEST_OPENED}").selectExpr(*file_columns()).collect()]
-    return reduce(DataFrame.unionByName, _by_schema(spark, long), out)
-
-
-def _by_schema(spark: SparkSession, files: list[str]) -> list[DataFrame]:
-    """Row texts of Parquet files, one result for the files of each schema; unreadable files are left out."""
-    same: dict[str, list[str]] = {}
-    for name in (re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in files):
-        try:
-            same.setdefault(spark.read.parquet(name).schema.json(), []).append(name)
-        except Exception as error:
-            if "CANNOT_READ_FILE_FOOTER" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-    tables = (spark.read.option("ignoreCorruptFiles", "true").parquet(*names) for names in same.values())
-    return [t.selectExpr(*file_columns(), f"{row_text(t)} as text") for t in tables]
-
-
-def _plain(value) -> str | None:
-    """A Parquet cell as text; nested values as JSON, bytes as UTF-8, cp1251 or Latin-1."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, bytes):
-        for encoding in ("utf-8", "cp1251", "latin-1"):
-            try:
-                return value.decode(encoding)
-            except UnicodeDecodeError:
-                continue
-    if isinstance(value, (list, dict)):
-        return json.dumps(value, ensure_ascii=False, default=str, separators=(",", ":"))
-    return str(value)
+            rest = pa.RecordBatch.from_arrays(batch.columns[3:], names=batch.schema.names[3:])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.repeat(pa.scalar("parquet"), n), pa.repeat(pa.scalar(0, pa.int64()), n), row_texts(rest), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string())],
+                names=["path", "size", "mtime", "family", "at", "text", "record", "error"],
+            )
+
+    return given.mapInArrow(written, "path string, size bigint, mtime timestamp_ntz, family string, at bigint, text string, record binary, error string")
+
+
+def parquet_rows_any_schema(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame | None:
+    """Row texts (path, size, mtime, at, text, error) of all Parquet files, whatever their schemas."""
+    files = None
+    if all(reachable(p) for p in ([paths] if isinstance(paths, str) else paths)):
+        files = _named(list_files(spark, paths), glob)
+    found = parquet_texts(spark, paths, files)
+    return None if found is None else record_texts(found)
