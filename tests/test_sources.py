@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from html import unescape
+from html.parser import HTMLParser
 from pathlib import Path
 
 import pytest
@@ -250,6 +253,13 @@ def test_html(spark):
         ("t<script>never closed a@b.co", "t"),
         ("<script-x>kept</script-x>", "kept"),
         ("<br>" * 20000 + "z", "z"),
+        ('<p title="a>b">x', "x"),
+        ("<p title='a>\"b' x = \"c>'d\" y=e\"f>g", "g"),
+        ('<a href=x"y>t</a "z">u', "t\nu"),
+        ('<script src="a>b">s@c.org</script>t', "t"),
+        ('<p title="never closed>mail a@b.co</p> <i>x</i>', "mail a@b.co\n \nx"),
+        ("<!x y>a<?php echo ?>b</>c<![CDATA[d]]>e", "a\nb\nc\ne"),
+        ("<p" + " a" * 9000 + ">x", "x"),
         ("", ""),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, h string")
@@ -257,6 +267,82 @@ def test_html(spark):
     assert got == [c[1] for c in cases]
 
 
+class _Nodes(HTMLParser):
+    """Text nodes outside script and style, as the standard library finds them."""
+
+    def __init__(self):
+        super().__init__()
+        self.nodes, self.open, self.raw = [], False, False
+
+    def handle_data(self, data):
+        if self.raw:
+            return
+        if self.open:
+            self.nodes[-1] += data
+        else:
+            self.nodes.append(data)
+        self.open = True
+
+    def markup(self, *_):
+        self.open = False
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = markup
+
+    def handle_starttag(self, tag, attrs):
+        self.open, self.raw = False, tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.open, self.raw = False, False
+
+
+def test_random_pages_equal_the_standard_parser(spark):
+    rng = random.Random(5)
+    attributes = ['a="x>y"', "b='<i>'", "c", "d=e", 'f = "g"', "h='\"'", 'i="\'>"', "j=k/l", "data-m=\"</p>\"", 'n=""', "o=p\"q"]
+    texts = ["one", " two ", "\n", "3 < 4", "a & b", "&lt;p&gt;", "&amp;", "é>", "user@site.org"]
+
+    def tag(name):
+        return "<" + name + "".join(rng.choice([" ", "\n", "  "]) + rng.choice(attributes) for _ in range(rng.randrange(4))) + rng.choice([">", " >", " />"])
+
+    def part():
+        kind = rng.randrange(8)
+        if kind < 3:
+            return rng.choice(texts)
+        if kind < 5:
+            return tag(rng.choice(["p", "DIV", "a", "br", "x-y", "h1"]))
+        if kind == 5:
+            return f"</{rng.choice(['p', 'Div', 'a'])}{rng.choice(['', ' '])}>"
+        if kind == 6:
+            return rng.choice(["<!-- <p title='x'> -->", "<!DOCTYPE html>", "<?xml version='1.0'?>", "<!---->"])
+        name = rng.choice(["script", "STYLE"])
+        return f"<{name} {rng.choice(attributes)}>if (a < b) '<p>'; mail@in.script</{name}>"
+
+    pages = ["".join(part() for _ in range(rng.randrange(25))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    got = [r.t for r in df.selectExpr("i", f"{html_text('h')} as t").orderBy("i").collect()]
+    for page, text in zip(pages, got):
+        parser = _Nodes()
+        parser.feed(page)
+        parser.close()
+        assert text == "\n".join(parser.nodes), page
+
+
+@pytest.mark.parametrize(
+    "opening", ["<", "<p ", "<p a=", '<p a="', "<p a='", "<a b=\"'", "<!--", "<script>", "<style ", "</", "<!", "<?", '<p a=">', "<p a='>\"", "=\"", "<p>", '<p a="x">']
+)
+def test_html_takes_linear_time(spark, opening):
+    """Twice the length takes about twice the time, whatever never ends."""
+
+    def seconds(n, end):
+        df = spark.createDataFrame([(opening * (n // len(opening)) + end,)], "h string")
+        started = time.perf_counter()
+        df.selectExpr(f"char_length({html_text('h')}) as n").collect()
+        return time.perf_counter() - started
+
+    for end in ("", '">', "'>", " x>y", "-->"):
+        seconds(1000, end)
+        assert seconds(4_000_000, end) < 5 * seconds(1_000_000, end) + 1.5
+
+
 def test_entities(spark):
     cases = [
         ("a &amp;lt; b", "a &lt; b"),

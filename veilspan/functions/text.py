@@ -42,13 +42,18 @@ def decode_utf8_lossy(content: str) -> str:
     )
 
 
-# Runs of markup: comments, script and style with their content, tags.  The
-# possessive loop keeps long runs of tags off the regex engine's call stack.
+# What stands between the name of a tag and its end.  A value in quotes may hold anything; a quote that
+# does not follow an equals sign is a character like any other.
+_INSIDE_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+"""
+# Runs of markup: comments, declarations, script and style with their content, tags.  A tag whose quotes never
+# close ends at the next angle bracket.  Loops are possessive: nothing is tried twice, and long runs
+# stay off the regex engine's call stack.
 _MARKUP = (
     r"(?is)(?:<!--.*?-->"
-    r"|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
-    r"|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
-    r"|<[!?]?/?[a-z][^>]*>)++"
+    rf"|<script(?:[\s/]{_INSIDE_TAG})?>.*?(?:</script\s*+>|\z)"
+    rf"|<style(?:[\s/]{_INSIDE_TAG})?>.*?(?:</style\s*+>|\z)"
+    rf"|<[a-z][^\s/>]*+{_INSIDE_TAG}>"
+    r"|<(?:[!?]?/?[a-z]|!(?!--)|\?|/(?=>))[^>]*+>)++"
 )
 
 
@@ -56,7 +61,7 @@ def html_text(html: str) -> str:
     """Text nodes of an HTML expression, joined by line feeds.
 
     Every run of markup between two text nodes becomes one line feed; a run at
-    either end joins nothing and leaves none.
+    either end joins nothing and leaves none.  Angle brackets inside quoted attributes end no tag.
 
     A comment that never ends and a tag that never ends stay text.  Their openings are hidden
     first, so that the pattern does not search the rest of the page from each of them.
