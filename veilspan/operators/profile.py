@@ -22,8 +22,8 @@ PROFILE_COLUMNS = [
 ]
 
 
-def _finish(counted: DataFrame, categories) -> DataFrame:
-    """Counts struct to the ordered map, category list and level."""
+def finish_profile(counted: DataFrame, categories) -> DataFrame:
+    """Profiles from a row per file with its counts struct: the ordered map, category list and level."""
     names = [r.category for r in select_rules(categories)]
     pairs = ", ".join(f"'{n}', counts.{n}" for n in names)
     mapped = counted.selectExpr(
@@ -42,7 +42,7 @@ def profile_files(corpus: DataFrame, text: str = "text", categories=None) -> Dat
 
     Files without text or without findings are dropped.
     """
-    return _finish(count_matches(corpus, FILE_COLUMNS, text, categories), categories)
+    return finish_profile(count_matches(corpus, FILE_COLUMNS, text, categories), categories)
 
 
 def profile_rows(
@@ -63,7 +63,35 @@ def profile_rows(
         F.expr(f"named_struct({sums})").alias("counts"),
     )
     any_match = " + ".join(f"counts.{n}" for n in names)
-    return _finish(grouped.where(f"{any_match} > 0"), categories)
+    return finish_profile(grouped.where(f"{any_match} > 0"), categories)
+
+
+def counts_of_files(whole: DataFrame, parts: DataFrame, seen: str, categories=None) -> DataFrame:
+    """FILE_COLUMNS, counts, seen and error of every file that has rows, with or without findings.
+
+    ``whole`` has one row a file and is not shuffled; counts of ``parts`` are summed before their shuffle.
+    ``seen`` tells whether a row's text counts as text.
+    """
+    names = [r.category for r in select_rules(categories)]
+    keep = [*FILE_COLUMNS, "seen", "error"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return count_matches(rows.selectExpr("*", f"coalesce({seen}, false) as seen"), keep, "text", categories, drop_empty=False)
+
+    sums = ", ".join(f"'{n}', sum(counts.{n})" for n in names)
+    grouped = counted(parts).groupBy("path", "name", "format").agg(
+        F.max("size").alias("size"),
+        F.max("mtime").alias("mtime"),
+        F.max("seen").alias("seen"),
+        F.min("error").alias("error"),
+        F.expr(f"named_struct({sums})").alias("counts"),
+    )
+    return counted(whole).unionByName(grouped)
+
+
+def found_any(categories=None) -> str:
+    """Whether a counts struct holds a finding."""
+    return " + ".join(f"counts.{r.category}" for r in select_rules(categories)) + " > 0"
 
 
 def category_counts(corpus: DataFrame, text: str = "text", categories=None) -> DataFrame:
