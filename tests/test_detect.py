@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 from plain_rules import plain_matches
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import CATEGORIES, CONFIGURED_CATEGORIES
+from veilspan.functions.sqltext import running_sums
 from veilspan.operators.detect import count_matches, findings
 from veilspan.operators.profile import category_counts, count_findings
 from veilspan.plans.corpus import OVERLAY
@@ -185,14 +188,42 @@ def _plan(df) -> str:
 def test_each_pattern_runs_once_and_nothing_shuffles(spark):
     spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     df = spark.createDataFrame(list(enumerate(OVERLAY)), "k int, text string")
-    for result in (findings(df, ["k"]), count_matches(df, ["k"])):
+    # Twelve single rules and one shared keyword pass, and the runs of numbers.
+    for result, passes, runs in ((findings(df, ["k"]), "regexp_replace(_text", 13), (count_matches(df, ["k"]), "regexp_extract_all(", 14)):
         plan = _plan(result)
-        # Twelve single rules, one shared keyword pass and the runs of numbers.
-        assert plan.count("regexp_extract_all(") == 14
+        assert plan.count(passes) == runs
+        assert plan.count("regexp_extract_all(") == (1 if runs == 13 else 14)
         assert "Exchange" not in plan
         assert "Python" not in plan
 
 
+def test_marks_in_a_text_are_not_taken_for_ours(spark):
+    text = "\ufdd0a@site.org\ufdd0 \ufdd0\ufdd0b@site.org \ufdd1"
+    got = findings(spark.createDataFrame([(1, text)], "k int, text string"), ["k"]).collect()
+    assert [(r["position"], r["value"]) for r in got] == [(1, "a@site.org"), (15, "b@site.org")]
+
+
+def test_positions_of_many_matches_take_linear_time(spark):
+    def seconds(n):
+        text = "".join(f"u{k}@site.org, диагноз; " for k in range(n))
+        df = spark.createDataFrame([(1, text)], "k int, text string")
+        started = time.perf_counter()
+        got = findings(df, ["k"]).groupBy("category").agg(F.max("position"), F.count("*")).collect()
+        taken = time.perf_counter() - started
+        last = len(text) - len(f"u{n - 1}@site.org, диагноз; ")
+        assert {tuple(r) for r in got} == {("email", last, n), ("health", last + len(f"u{n - 1}@site.org, "), n)}
+        return taken
+
+    seconds(100)
+    assert seconds(100_000) < 5 * seconds(25_000) + 2
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 127, 128, 129, 16_384, 16_385, 40_000):
+        got = spark.range(1).selectExpr(f"{running_sums(f'transform(slice(sequence(1, {n} + 1), 1, {n}), x -> x % 7)')} as s").first().s
+        assert got == np.cumsum(np.arange(1, n + 1) % 7).tolist()
+
+
 def test_only_needed_columns_are_read(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = _plan(count_matches(docs, ["doc_id"]).select("doc_id", F.col("counts.email")))
