@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
+from html import unescape
 
 import pytest
 
@@ -34,7 +37,28 @@ def test_page():
         ("<article><p title='a>b' class=\"x>y\">in</p></article>", "in"), ("<!-- open <article><p>x</p>", ""),
         ("<main><header><h1>Head</h1></header><p>Body.</p></main><div><p>Out, of, it, all, the, way.</p></div>", "Head\n\nBody."),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
-        ("<article><p>t</p><div><a href=x>one link</a> <a href=y>two</a></div></article>", "t"),
+        ("<article><p>t</p><div><a href=x>one link</a> <a href=y>two</a></div></article>", "t\n\none link two"),
+        ("<article><p>t</p><ul><li><a href=x>First, source</a><li><a href=y>Second</a></ul></article>", "t\n\nFirst, source\n\nSecond"),
+        ("<article><p>t</p><ul class=menu><li><a href=x>Up</a></ul><nav><a href=y>Down</a></nav></article>", "t"),
+        *(
+            (f"<body><nav><a href=/>Home</a></nav><div {a}><p>A text, that stays, as it is.</p></div></body>", "A text, that stays, as it is.")
+            for a in (
+                'style="overflow:hidden"', 'style="visibility:hidden"', 'title="the hidden truth"', 'data-role="form"', 'data-id="nav"', "data-class=sidebar",
+                'title="a > b" class="x"', "class='content has-sidebar'", 'class="comments-open"', 'class="post no-ads"', 'class="download"', "title=hidden",
+            )
+        ),
+        *(
+            (f'<body><div class="content"><p>A text, that stays, as it is.</p></div><div {a}><p>Other words, of a part, that goes, always.</p></div></body>', "A text, that stays, as it is.")
+            for a in (
+                'class="page-header"', 'class="main-nav"', 'class="sidebar-content"', 'class="comment-body"', 'class="social-post"', 'class="related-content"', "hidden",
+                'class="mainNav"', 'id="pageHeader"', 'class="x  advertisement-text"', 'role="navigation"', "aria-hidden='true'", 'class="post comments"', 'id=CookieNotice',
+            )
+        ),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div class="entry-footer">Filed</div></article>', "Title\n\nText."),
+        ("<html><head><title>T</title><body><p>No end tag of the head.</p>", "No end tag of the head."), ("<head><meta a><p>x", "x"),
+        ("<article><figure><img src=x><figcaption>Seen, from above</figcaption></figure>t</article>", "Seen, from above\n\nt"),
+        ("<article><p>İ<SCRIPT>x</SCRIPT>y<STYLE>p</Style >z</p></article>", "İyz"),
+        ("<article><p>x<script>a</scripty>b</script>y</p></article>", "xy"),
         ("<article><p hidden>h</p><p aria-hidden=true>i</p><p>\xa0v\t</p></article>", "v"),
     ],
 )
@@ -48,11 +72,57 @@ def test_prose_siblings_are_kept():
     assert main_text(page).count("A sentence") == 6
 
 
-@pytest.mark.parametrize("part", ["<!-- ", "<a ", "<p>", "<b>x", "</p>", "&amp;", "<div>", "<a href='", "<script>"])
-def test_long_pages_take_linear_time(part):
-    began = time.time()
-    main_text(part * (200_000 // len(part)))
-    assert time.time() - began < 20
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ("<!-- ",), ("<a ",), ("<p>",), ("<b>x",), ("</p>",), ("&amp;",), ("<div>",), ("<a href='",), ("<script>",), ("<b>", "</i>"), ("<p>x", "</i>"), ("<div>", "<p>x"),
+        ("<li>", "</ul>"), ("<b>", "<p>x"), ("<table><td>", "</tr>"), ("<a href=x>", "</b>"), ("<span class='a b'>", "<br>"), ("<p a=\"", "'>"), ("<b>", "x</p><p>"),
+    ],
+)
+def test_mixed_parts_take_linear_time(parts):
+    def seconds(n):
+        page = "".join(p * n for p in parts)
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    seconds(100)
+    assert min(seconds(40_000) for _ in range(2)) < 2.5 * max(seconds(20_000) for _ in range(2)) + 0.05
+
+
+def test_random_articles_equal_a_plain_walk():
+    """Trees of parts that stay and parts that go: the text is that of the parts that stay, in order."""
+    rng = random.Random(6)
+    words = ["one", "two,", "three", "&lt;four&gt;", "five.", "<b>six</b>", "<a href=x>seven</a>", "eight<br>nine", "<i>ten</i>"]
+    gone = [
+        "<nav>{}</nav>", "<div class='comment-body'>{}</div>", "<aside>{}</aside>", "<div id=side class='x sidebar'>{}</div>", "<form>{}</form>", "<footer>{}</footer>",
+        "<div hidden>{}</div>", "<ul class='share-links'>{}</ul>", "<section role=dialog>{}</section>", "<!-- {} -->", "<script>{}</script>", "<div class=adSlot>{}</div>",
+    ]
+    kept = ["<div>{}</div>", "<section class='text'>{}</section>", "<blockquote>{}</blockquote>", "<div title='nav' data-class='ad'>{}</div>", "<ul><li>{}</li></ul>", "<div class='has-sidebar'>{}</div>"]
+
+    def plain(text):
+        return " ".join(unescape(re.sub("<[^>]*>", "", text.replace("<br>", " "))).split())
+
+    def tree(depth, stays, out):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.random()
+            if depth < 4 and kind < 0.3:
+                parts.append(rng.choice(kept).format(tree(depth + 1, stays, out)))
+            elif depth < 4 and kind < 0.5:
+                parts.append(rng.choice(gone).format(tree(9, False, out)))
+            else:
+                text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+                parts.append(f"<p>{text}" + rng.choice(["</p>", "</p>\n"]))
+                if stays:
+                    out.append(plain(text))
+        return "".join(parts)
+
+    for _ in range(400):
+        out: list[str] = []
+        body = tree(0, True, out)
+        page = f"<html><head><title>t</title></head><body><header><h1>Site</h1></header><article>{body}</article><div class=related><p>Or, see, this.</p></div></body></html>"
+        assert main_text(page) == "\n\n".join(out), page
 
 
 def test_table(spark):

@@ -6,7 +6,8 @@ an element's points are discounted by the share of its text that is in links.  T
 is the container; siblings that score well, or are paragraphs of prose, are kept with it.
 
 Left out with all below them: scripts, styles, navigation, headers and footers of pages, asides,
-forms, and elements whose class, id or role names such a part; list-like blocks made of links.
+forms, and elements whose class, id or role names such a part; outside articles also list-like blocks
+made of links.
 
 Defined results: a null page, or one without any text block, gives an empty text; unclosed and
 stray tags close as in browsers (a block ends an open paragraph, an end tag closes up to its start
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +30,11 @@ from veilspan.llm.common import map_batches, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
 SKIPPED = RAW | frozenset("head nav header footer aside form button select option svg canvas object dialog menu figcaption label fieldset".split())
+#: What may stand in a head; anything else ends it, also without an end tag.
+IN_HEAD = frozenset("title base link meta script style noscript template".split())
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
-    "blockquote pre figure address details summary center hr nav header footer aside form fieldset dialog menu".split()
+    "blockquote pre figure figcaption address details summary center hr nav header footer aside form fieldset dialog menu".split()
 )
 #: An opening tag ends these open elements first, up to the nearest element of the second set.
 IMPLIED = {
@@ -41,16 +46,25 @@ IMPLIED = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|disqus|community|cookies?|consent|footer|footnav|header|legal|menu|"
-    r"modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|remark|replies|rss|share|sharing|shoutbox|sidebar|"
-    r"skyscraper|social|sponsor\w*|subscribe|tags|toolbar|tweet|twitter|widget)(?:$|[\s_-])",
-    re.I,
+#: Parts of class and id names that say what is not the article.
+UNLIKELY = frozenset(
+    "ad ads adslot adunit banner breadcrumb breadcrumbs comment comments commenter commentlist consent cookie cookies copyright feedback "
+    "footer gdpr header masthead menu menubar modal nav navbar navi navigation newsletter notice notices notification "
+    "notifications overlay pager pagination paging popup promo promotion recommendation recommendations recommended related replies reply respond "
+    "share sharing sidebar signup social subscribe subscription toolbar topbar widget widgets".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_-])", re.I)
+UNLIKELY_BEGINNINGS = ("advert", "sponsor")
+LIKELY = frozenset("article body content entry main page post story text".split())
+#: A name with one of these tells of the page's state ("has-sidebar", "comments-open"), not of the element's kind.
+STATES = frozenset("has with no without is enabled disabled open closed free on off".split())
+#: "entry-header" holds the heading of the article, "page-header" that of the site.
+HEADED = frozenset("article entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
-_LABEL = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute after another: its whole name and its value.
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?""")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 BONUS = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "html": -5.0, "ul": -3.0, "ol": -3.0, "li": -3.0}
 
@@ -100,46 +114,75 @@ def _tag_end(page: str, at: int) -> int:
     return end + 1
 
 
+@lru_cache(maxsize=4096)
+def _kind(names: str) -> tuple[bool, bool]:
+    """(names a part that is not the article, names the article) of the values of class and id.
+
+    Inside one name the unlikely part wins ("comment-body", "main-nav").
+    """
+    unlikely = likely = False
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        known = set(parts)
+        against = [p for p in parts if p in UNLIKELY or p.startswith(UNLIKELY_BEGINNINGS)]
+        if against == ["header"] and known & HEADED:
+            against = []
+        if against and not known & STATES:
+            unlikely = True
+        elif not against and known & LIKELY:
+            likely = True
+    return unlikely, likely
+
+
 class _Builder:
+    """Open elements, and where in the stack those of each tag and the blocks are, so no step walks it."""
+
     def __init__(self) -> None:
         self.root = Node("html", None)
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
         self.text: list[str] = []
         self.links: list[str] = []
-        self.in_link = 0
+
+    def holder(self) -> Node:
+        """The innermost open block."""
+        return self.open[self.blocks[-1]]
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            block = self.open[-1]
-            while block.tag not in BLOCKS and block.parent:
-                block = block.parent
             linked = len(_SPACE.sub(" ", "".join(self.links)).strip())
-            block.kids.append(Block(text, min(linked, len(text))))
+            self.holder().kids.append(Block(text, min(linked, len(text))))
         self.text.clear()
         self.links.clear()
 
     def close(self, index: int) -> None:
         """Close the open elements from index on."""
-        if any(n.tag in BLOCKS or n.skip for n in self.open[index:]):
+        if self.blocks[-1] >= index:
             self.flush()
-        self.in_link -= sum(n.tag == "a" for n in self.open[index:])
-        del self.open[index:]
+        while len(self.open) > index:
+            self.at[self.open.pop().tag].pop()
+        while self.blocks[-1] >= index:
+            self.blocks.pop()
 
-    def find(self, tags: frozenset[str], stop: frozenset[str]) -> int | None:
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                break
-            if self.open[i].tag in tags:
-                found = i
-        return found
+    def last(self, tags) -> int:
+        """Place of the innermost open element of some tags; 0 without any."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def find(self, tags, stop) -> int | None:
+        """Place of the outermost open element of the tags inside the innermost of the stops."""
+        inside = self.last(stop)
+        found = [places[k] for t in tags if (places := self.at.get(t)) and (k := bisect_right(places, inside)) < len(places)]
+        return min(found, default=None)
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if self.at.get("head") and tag not in IN_HEAD:
+            self.close(self.at["head"][-1])
+        if tag in BLOCKS:
             self.flush()
-            at = self.find(frozenset(["p"]), frozenset(["td", "th", "table", "button", "article", "section", "div", "li", "body"]))
-            if at is not None and tag in BLOCKS:
+            at = self.find(("p",), _P_STOPS)
+            if at is not None:
                 self.close(at)
         if tag in IMPLIED:
             at = self.find(*IMPLIED[tag])
@@ -149,51 +192,51 @@ class _Builder:
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag == "a" and self.in_link:
-            at = self.find(frozenset(["a"]), BLOCKS)
+        if tag == "a" and self.at.get("a"):
+            at = self.find(("a",), BLOCKS)
             if at is not None:
                 self.close(at)
         if tag in ("html", "body") and any(n.tag == tag for n in self.open[: 2 + (tag == "body")]):
             return
-        labels = {k.lower(): (v or "").strip("\"'") for k, v in _LABEL.findall(attributes)} if attributes else {}
-        name = f"{labels.get('class', '')} {labels.get('id', '')}"
+        labels: dict[str, str] = {}
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            labels.setdefault(name.lower(), value[1:-1] if value[:1] in ('"', "'") else value)
+        unlikely, likely = _kind(f"{labels.get('class', '')} {labels.get('id', '')}")
         skip = (
             tag in SKIPPED
-            or labels.get("role", "").lower() in ROLES
+            or labels.get("role", "").strip().lower() in ROLES
             or "hidden" in labels
-            or labels.get("aria-hidden", "").lower() == "true"
-            or (tag not in ("html", "body", "article", "main") and len(name) > 1 and bool(UNLIKELY.search(name)) and not LIKELY.search(name))
+            or labels.get("aria-hidden", "").strip().lower() == "true"
+            or (unlikely and tag not in ("html", "body", "article", "main"))
         )
-        if tag in ("header", "figcaption") and any(n.tag in ("article", "main") for n in self.open):
+        if tag in ("header", "figcaption") and (self.at.get("article") or self.at.get("main")):
             skip = "hidden" in labels  # the heading of an article
-        bonus = BONUS.get(tag, 0.0) + (25.0 if len(name) > 1 and LIKELY.search(name) else 0.0)
-        node = Node(tag, self.open[-1], skip or self.open[-1].skip, bonus)
+        node = Node(tag, self.open[-1], skip or self.open[-1].skip, BONUS.get(tag, 0.0) + 25.0 * likely)
         if tag in BLOCKS:
-            holder = self.open[-1]
-            while holder.tag not in BLOCKS and holder.parent:
-                holder = holder.parent
-            node.parent = holder
-            holder.kids.append(node)
+            node.parent = self.holder()
+            node.parent.kids.append(node)
+            self.blocks.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
-        self.in_link += tag == "a"
 
     def end(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self.close(i)
-                return
+        if self.last((tag,)):
+            self.close(self.at[tag][-1])
 
     def add(self, text: str) -> None:
         if self.open[-1].skip:
             return
         self.text.append(text)
-        if self.in_link:
+        if self.at.get("a"):
             self.links.append(text)
 
 
+_P_STOPS = ("td", "th", "table", "button", "article", "section", "div", "li", "body")
+
+
 def parse(page: str) -> Node:
     """The tree of the blocks that may be main text."""
-    tree, at, low = _Builder(), 0, None
+    tree, at = _Builder(), 0
     while at < len(page):
         next_tag = page.find("<", at)
         if next_tag < 0:
@@ -233,9 +276,8 @@ def parse(page: str) -> Node:
         tree.start(tag, page[name.end() : end - 1])
         at = end
         if tag in RAW:
-            low = low if low is not None else page.lower() if len(page.lower()) == len(page) else page
-            stop = low.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else _tag_end(page, stop)
+            stop = _RAW_END[tag].search(page, at)
+            at = _tag_end(page, stop.start()) if stop else len(page)
             tree.end(tag)
     tree.flush()
     return tree.root
@@ -274,15 +316,15 @@ def _value(node: Node) -> float:
     return (node.points + node.bonus) * (1 - node.linked / node.length) if node.length else float("-inf")
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """All kept blocks below a node, in page order."""
+def _blocks(node: Node, out: list[str], all_lists: bool) -> None:
+    """All kept blocks below a node, in page order; lists made of links only where they are part of an article."""
     stack: list[Node | Block] = [node]
     while stack:
         item = stack.pop()
         if isinstance(item, Block):
             out.append(item.text)
         elif not item.skip:
-            made_of_links = item.tag in ("ul", "ol", "div", "table", "section", "dl") and item.length and item.linked > 0.6 * item.length
+            made_of_links = not all_lists and item.tag in ("ul", "ol", "div", "table", "section", "dl") and item.length and item.linked > 0.6 * item.length
             if item is node or not made_of_links:
                 stack.extend(reversed(item.kids))
 
@@ -304,21 +346,22 @@ def main_text(page: str | None) -> str:
             best = holder
         holder = holder.parent
     blocks: list[str] = []
+    article = best.tag in ("article", "main")
     if best.parent is None:
-        _blocks(best, blocks)
+        _blocks(best, blocks, article)
     else:
         least = max(10.0, 0.2 * _value(best))
         for kid in best.parent.kids:
             if kid is best:
-                _blocks(kid, blocks)
+                _blocks(kid, blocks, article)
             elif isinstance(kid, Block):
-                if best.tag not in ("article", "main") and len(kid.text) > 80 and kid.linked < 0.25 * len(kid.text):
+                if not article and len(kid.text) > 80 and kid.linked < 0.25 * len(kid.text):
                     blocks.append(kid.text)
             elif kid.length and not kid.skip:
                 density = kid.linked / kid.length
                 prose = kid.tag == "p" and kid.length > 80 and density < 0.25
                 if prose or (kid.tag not in ("p",) and _value(kid) - 0.5 * kid.bonus >= least and density < 0.5):
-                    _blocks(kid, blocks)
+                    _blocks(kid, blocks, kid.tag in ("article", "main"))
     return "\n\n".join(blocks)
 
 
