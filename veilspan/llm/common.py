@@ -123,9 +123,14 @@ def _sifted(rows: DataFrame, shared: Broadcast, inverse: bool = False) -> DataFr
     return rows.mapInArrow(run, rows.schema)
 
 
+def sifted_by(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows whose th may be among the wanted ones; by a bitmap of fixed size, to be destroyed after use."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th"))
+    return _sifted(rows, shared), shared
+
+
 def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose th may be among the wanted ones; by a bitmap of fixed size."""
-    return _sifted(rows, rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th")))
+    return sifted_by(rows, wanted)[0]
 
 
 def without(rows: DataFrame, columns: list[str], gone: DataFrame) -> DataFrame:
@@ -167,3 +172,13 @@ def set_aside(df: DataFrame, results: list[str], *used: str) -> DataFrame:
     for c in [c for c in df.columns if c.lower() in wanted and c not in used]:
         df = df.withColumnRenamed(c, free_name(df, c))
     return df
+
+
+#: Names that numbered rows and the operators on them use inside.
+RESERVED = ("_row", "th", "_file", "_index", "_place", "_key", "_body", "copies", "_at", "_part")
+
+
+def shielded(df: DataFrame, *used: str, reserved: tuple[str, ...] = RESERVED) -> tuple[DataFrame, dict[str, str]]:
+    """Columns whose names are reserved under other names, and the names to give back; those in ``used`` stay."""
+    aside = {c: free_name(df, f"kept_{c}") for c in df.columns if c.lower() in reserved and c not in used}
+    return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}

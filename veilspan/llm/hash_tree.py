@@ -7,7 +7,8 @@ into or out of that subtree.  layout() gives shards beyond its base a region of
 one more shard takes rows only into itself.
 
 Defined results: a null key is a key like any other; a null text is empty; equal keys always
-share a shard; zero-weight nodes get nothing; extra columns pass through untouched.
+share a shard; zero-weight nodes get nothing; extra columns pass through, those named
+like results as ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import table, uniform
+from veilspan.llm.common import set_aside, shielded, table, uniform
 from veilspan.llm.scratch import cut
 
 BASE_SHARDS = 24
@@ -89,6 +90,7 @@ def shard_of(key: Column, tree: list[Shard]) -> Column:
 
 def place(docs: DataFrame, n_shards: int = BASE_SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Add size, text_crc32, law, shard and grown_shard (the shard with one more shard) to each row."""
+    docs = set_aside(docs, ["size", "text_crc32", "law", "shard", "grown_shard"], key, text)
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
         {
@@ -107,6 +109,7 @@ def number(placed: DataFrame) -> DataFrame:
     Each input partition numbers its own rows of a shard, starting where the partitions before it
     end; so no task ever holds more than one partition's rows, however hot a shard or a key is.
     """
+    placed, names = shielded(set_aside(placed, ["slot"]), reserved=("_at", "_part", "_nth", "_start"))
     rows = cut(placed.withColumn("_at", F.monotonically_increasing_id()), "placed")
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,6 +125,7 @@ def number(placed: DataFrame) -> DataFrame:
         .join(starts, ["shard", "_part"])
         .withColumn("slot", (F.col("_start") + F.col("_nth")).cast("long"))
         .drop("_at", "_part", "_nth", "_start")
+        .withColumnsRenamed(names)
     )
 
 

@@ -11,7 +11,7 @@ and licence lines, which are boilerplate anywhere.
 
 Defined results: null and empty texts have no words and fail the plain rules; lines without a word
 are left out of the sequence; without labelled documents of both kinds the plain rules alone
-decide; repeated rows are judged alike.
+decide; repeated rows are judged alike; input columns named like results come back as ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import label_sample, map_batches, table
+from veilspan.llm.common import label_sample, map_batches, set_aside, table
 from veilspan.llm.scratch import cut
 
 MOST_DOCUMENTS = 6000
@@ -261,6 +261,7 @@ def train(labelled: DataFrame) -> Crf | None:
 
 def judge(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     """Add the plain measures, base_failed, content_share, n_boilerplate_lines and kept to every row; the text is left out."""
+    docs = set_aside(docs, MEASURES, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some dozen numbers
     others = [c for c in docs.columns if c != text]
     kept_columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)

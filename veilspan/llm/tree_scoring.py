@@ -316,17 +316,18 @@ def _value(node: Node) -> float:
     return (node.points + node.bonus) * (1 - node.linked / node.length) if node.length else float("-inf")
 
 
-def _blocks(node: Node, out: list[str], all_lists: bool) -> None:
+def _blocks(node: Node, out: list[str], in_article: bool) -> None:
     """All kept blocks below a node, in page order; lists made of links only where they are part of an article."""
-    stack: list[Node | Block] = [node]
+    stack: list[tuple[Node | Block, bool]] = [(node, in_article)]
     while stack:
-        item = stack.pop()
+        item, inside = stack.pop()
         if isinstance(item, Block):
             out.append(item.text)
         elif not item.skip:
-            made_of_links = not all_lists and item.tag in ("ul", "ol", "div", "table", "section", "dl") and item.length and item.linked > 0.6 * item.length
-            if item is node or not made_of_links:
-                stack.extend(reversed(item.kids))
+            inside = inside or item.tag in ("article", "main")
+            made_of_links = item.tag in ("ul", "ol", "div", "table", "section", "dl") and item.length and item.linked > 0.6 * item.length
+            if item is node or inside or not made_of_links:
+                stack.extend((k, inside) for k in reversed(item.kids))
 
 
 def main_text(page: str | None) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import bitmap, in_bitmap, listed, numbered, table, without
+from veilspan.llm.common import bitmap, free_name, in_bitmap, listed, numbered, set_aside, shielded, table, without
 from veilspan.llm.scratch import cut
 
 SPAN = 13
@@ -117,19 +117,27 @@ def _item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     return both.select("item_id", "whole", F.explode("cands").alias("c")).select("item_id", "whole", "c.fp", "c.width", F.col("c.lo").alias("b_lo"), F.col("c.ctx").alias("b_ctx"))
 
 
+_RESULTS = ["_row", "cands", "n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated"]
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: the kept columns, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     windows = cut(_item_windows(items, item, item_text), "windows").withColumn("ctx_id", F.xxhash64("fp", "b_lo", "b_ctx", "whole"))
     widths = [r[0] for r in windows.where("whole").select("width").distinct().collect()]  # at most 12
     shared = spark.sparkContext.broadcast(bitmap(windows, "fp"))
+    # Kept columns that are named like results come back as ``input_<name>``.
+    body = free_name(docs, "_body")
+    rows = set_aside(docs.select(*keep, F.col(text).alias(body)), _RESULTS, body)
+    columns = [c for c in rows.columns if c != body]
 
     def scan(batches):
-        yield from _scan(batches, [*keep, "_row"], "_body", widths, shared.value, False)
+        yield from _scan(batches, [*columns, "_row"], body, widths, shared.value, False)
 
-    bodies = docs.select(*keep, F.col(text).alias("_body"), F.monotonically_increasing_id().alias("_row"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    scanned = cut(bodies.mapInArrow(scan, f"{kept}, _row bigint, n_words bigint, cands {_CANDIDATES_SQL}"), "scanned")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*columns).schema)
+    bodies = rows.withColumn("_row", F.monotonically_increasing_id())
+    scanned = cut(bodies.mapInArrow(scan, f"{kept}_row bigint, n_words bigint, cands {_CANDIDATES_SQL}"), "scanned")
+    shared.destroy()
     return summed(scanned, windows)
 
 
@@ -177,10 +185,11 @@ def summed(scanned: DataFrame, windows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
+    docs, names = shielded(docs, text)
     rows = numbered(docs, text)
     judged = find_overlaps(rows.select(F.col(text).alias("text"), F.col("_row").alias("_at"), "th"), items, ["_at", "th"])
     gone = judged.where("contaminated").select(F.col("_at").alias("_row"), "th")
-    return without(rows, docs.columns, cut(gone, "gone"))
+    return without(rows, docs.columns, cut(gone, "gone")).withColumnsRenamed(names)
 
 
 def op4_winnowing(spark, sf_dir: str) -> DataFrame:
