@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -48,3 +50,29 @@ def test_layout_grows_by_a_region():
 def test_empty_table_and_tree(spark):
     assert number(place(docs_frame(spark, [(1, "a")]).limit(0))).count() == 0
     assert spark.range(1).select(shard_of(F.col("id"), []).alias("s")).first()["s"] is None
+
+
+def plain_shard(key, tree):
+    """The descent for one key: the child of the least draw, level by level."""
+    leaves = [x for x in tree if x.weight > 0]
+    names = [lambda x: f"r{x.region}", lambda x: f"r{x.region}/k{x.rack}", lambda x: f"{x.shard}"]
+    for name in names:
+        weights: dict = {}
+        for x in leaves:
+            weights[name(x)] = weights.get(name(x), 0.0) + x.weight
+        text = "null" if key is None else str(key)
+        draws = {}
+        for child, weight in weights.items():
+            bits = int(hashlib.md5(f"{text}:{child}".encode()).hexdigest()[:13], 16)
+            draws[child] = -math.log((bits + 0.5) / 2**52) / weight
+        chosen = min(draws, key=lambda c: (draws[c], c))
+        leaves = [x for x in leaves if name(x) == chosen]
+    return leaves[0].shard
+
+
+def test_descent_equals_a_plain_version(spark):
+    keys = [*range(500), 10**15, -7, None]
+    trees = [layout(24), layout(25), layout(40), [Shard(0, 0, 0, 1), Shard(0, 1, 1, 3.5), Shard(1, 2, 2, 0), Shard(1, 2, 3, 2), Shard(4, 9, 7, 0.25)]]
+    for tree in trees:
+        got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", shard_of(F.col("k"), tree).alias("s")).collect()
+        assert [r["s"] for r in got] == [plain_shard(r["k"], tree) for r in got]

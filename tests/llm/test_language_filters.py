@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from helpers import docs_frame
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.language_filters import ORDERS, LanguageFilter, _ngrams, op9_language_filters, predict, train
+from veilspan.llm.language_filters import LEAST_SHARE, ORDERS, LanguageFilter, _ngrams, op9_language_filters, predict, train
 
 
 def trained(spark):
@@ -46,6 +48,38 @@ def test_ngrams_stay_inside_rows():
         assert len(_ngrams(data, offsets, 3)[0]) == 2 and len(_ngrams(data, offsets, 5)[0]) == 0
 
 
+def plain_grams(text):
+    """Byte n-grams of a lower-cased text in which at most one byte is not part of a letter."""
+    data = re.sub(rb"[^a-z\x80-\xff]", b" ", (text or "").lower().encode())
+    return [data[k : k + n] for n in ORDERS for k in range(len(data) - n + 1) if data[k : k + n].count(b" ") <= 1]
+
+
+def test_predictions_equal_exact_sets(spark):
+    """Sets of n-grams in place of the filter: the same language, and the same share but for false positives."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").limit(300).collect()
+    known: dict = {}
+    for r in docs[:150]:
+        if r["lang"] is not None:
+            known.setdefault(r["lang"], []).extend(plain_grams(r["text"]))
+    sets = {}
+    for lang, grams in known.items():
+        values, n = np.unique(np.array(grams, object), return_counts=True)
+        sets[lang] = set(values[n >= LEAST_SHARE * len(grams)])
+    frame = spark.createDataFrame(docs[:150], "doc_id bigint, text string, lang string")
+    model = train(frame.selectExpr("doc_id as key", "text", "lang"))
+    got = predict(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), model).collect()
+    same = 0
+    for r in got:
+        grams = plain_grams(r["text"])
+        shares = {lang: sum(g in s for g in grams) / max(len(grams), 1) for lang, s in sorted(sets.items())}
+        best = max(shares, key=shares.get)
+        same += r["lang_pred"] == best
+        if r["lang_pred"] == best:
+            assert abs(r["score"] - shares[best] / sum(shares.values())) < 0.02
+    assert same >= 0.99 * len(got)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = op9_language_filters(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")

