@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pytest
+
 from veilspan.operators import compare
 from veilspan.operators.profile import FILE_COLUMNS, profile_files, profile_rows
 from veilspan.plans import corpus
@@ -30,6 +34,23 @@ def test_scratch_is_below_the_shared_folder(spark):
     assert first.startswith(shared) and first != second
 
 
+@pytest.mark.parametrize(
+    ("master", "checkpoint", "warehouse", "good"),
+    [
+        ("local[4]", None, "file:/w", True), ("local", None, "file:/w", True), ("yarn", None, "file:/w", False), ("local-cluster[2,1,900]", None, "file:/w", False),
+        ("yarn", None, "hdfs://h/w", True), ("yarn", "hdfs://h/c", "file:/w", True),
+    ],
+)
+def test_a_folder_of_one_machine_is_not_shared(master, checkpoint, warehouse, good):
+    known = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": warehouse}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: known[k]), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    if good:
+        assert scratch_path(session, "x").startswith(f"{checkpoint or warehouse}/app/x-")
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_path(session, "x")
+
+
 def test_file_profiles_do_not_shuffle(spark):
     docs = corpus.table(spark, FOLDER, "documents").selectExpr(
         "cast(doc_id as string) as path", "'n' as name", "n_chars as size",
