@@ -115,18 +115,18 @@ def all_met(got: int, asked: int, what: str) -> None:
         raise RuntimeError(f"{what}: {got} of {asked} rows found in a later scan; the input has changed")
 
 
-def _sifted(rows: DataFrame, shared: Broadcast, inverse: bool = False) -> DataFrame:
+def _sifted(rows: DataFrame, shared: Broadcast, inverse: bool = False, column: str = "th") -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("th").to_numpy()) ^ inverse))
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(column).to_numpy()) ^ inverse))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def sifted_by(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """The rows whose th may be among the wanted ones; by a bitmap of fixed size, to be destroyed after use."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th"))
-    return _sifted(rows, shared), shared
+def sifted_by(rows: DataFrame, wanted: DataFrame, column: str = "th") -> tuple[DataFrame, Broadcast]:
+    """The rows whose number in a column may be among the wanted ones; by a bitmap of fixed size, to be destroyed after use."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, column))
+    return _sifted(rows, shared, column=column), shared
 
 
 def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:

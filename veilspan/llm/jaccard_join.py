@@ -13,6 +13,9 @@ all documents; here shingles seen often come last, so prefixes are selective.
    components, which joins the members of a large group of copies with few pairs.
 5. Every remaining candidate pair, be it of a crowded shingle or of members of groups, whose ends
    still lie in different components is verified; pairs inside one component cannot change it.
+   Members of a crowded shingle meet only if their sizes and sketches allow the similarity: a
+   sketch of SKETCH words holds the parity of shingles in each bit, so bits that differ count
+   shingles that differ, and no pair that links is passed over.
 
 So no link between different texts is lost and no group is expanded into all its pairs.
 The frequent shingles travel as a bitmap of fixed size; it only affects the order.
@@ -23,6 +26,8 @@ a null doc_id never becomes a component_id unless the whole component has none.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import textkit as tk
-from veilspan.llm.common import all_met, bitmap, in_bitmap, maybe_in, numbered, table, without
+from veilspan.llm.common import all_met, bitmap, in_bitmap, numbered, shielded, sifted_by, table, without
 from veilspan.llm.components import components
 from veilspan.llm.scratch import cut, shuffle_partitions
 
@@ -40,6 +45,8 @@ FEW = 24
 OFTEN = 2  # times within a block of shingles
 ROUNDS, PARTNERS, SHARE = 2, 3, 512
 APART = f"root <> root2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
+SKETCH = 16  # words
+_WORDS = [f"s{k}" for k in range(SKETCH)]
 BLOCK = 1 << 22
 MOST_FREQUENT = 1 << 23
 _U = np.uint64
@@ -257,33 +264,98 @@ def _kinds(parts: list[tuple]) -> pa.Table:
     return pa.table([pa.array(kind.astype(np.int32)), *(pa.array(v) for v in whole)], names=["kind", "x", "y", "z"])
 
 
+def _opened(column: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x) for x in column.to_pylist()], pa.binary()).view(pa.string())
+
+
 def _verified(batches):
     """Of rows (a, b, text_a, text_b), the pairs whose sets are similar enough; a is cached along its run."""
     last, known = None, None
     for batch in batches:
-        for first, end, data, offsets in tk.slices(batch.column("text_b")):
-            part = batch.slice(first, end - first)
-            _, h, counts = shingle_sets(data, offsets)
-            ends = np.cumsum(counts)
-            a, text_a, linked = part.column("a").to_pylist(), part.column("text_a"), np.zeros(end - first, bool)
-            for k in range(end - first):
-                if a[k] != last or known is None:
-                    last, body = a[k], np.frombuffer((text_a[k].as_py() or "").encode(), np.uint8)
-                    known = shingle_sets(body, np.array([0, len(body)]))[1]
-                mine = h[ends[k] - counts[k] : ends[k]]
-                if not len(known) or not len(mine):
-                    continue
-                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                common = int((known[at] == mine).sum())
-                linked[k] = 100 * common >= PERCENT * (len(known) + len(mine) - common)
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            a, text_a, linked = part.column("a").to_pylist(), part.column("text_a"), np.zeros(part.num_rows, bool)
+            for first, end, data, offsets in tk.slices(_opened(part.column("text_b"))):
+                _, h, counts = shingle_sets(data, offsets)
+                ends = np.cumsum(counts)
+                for k in range(first, end):
+                    if a[k] != last or known is None:
+                        last, body = a[k], np.frombuffer(zlib.decompress(text_a[k].as_py()), np.uint8)
+                        known = shingle_sets(body, np.array([0, len(body)]))[1]
+                    mine = h[ends[k - first] - counts[k - first] : ends[k - first]]
+                    if not len(known) or not len(mine):
+                        continue
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    common = int((known[at] == mine).sum())
+                    linked[k] = 100 * common >= PERCENT * (len(known) + len(mine) - common)
             yield part.select(["a", "b"]).filter(pa.array(linked))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint")
+def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link; written.
+
+    Only pairs that sizes and sketches allow meet their texts, and only texts of such pairs are shuffled.
+    """
+    one, two = (sketches.withColumnsRenamed({"node": x, "n": n} | {w: f"{x}{w}" for w in _WORDS}) for x, n in (("a", "n"), ("b", "n2")))
+    possible = cut(pairs.join(one, "a").join(two, "b").where(_may_link("a", "b")).select("a", "b"), "possible")
+    ends = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
+    near, shared = sifted_by(texts, ends, "node")
+    b = near.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    a = near.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    met = possible.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    links = cut(met.mapInArrow(_verified, "a bigint, b bigint"), "links")
+    shared.destroy()
+    return links
+
+
+def _joined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select("a", "b")
+
+
+def _more(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what was one component before and of new links."""
+    return cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "roots")
+
+
+def parity_sketches(rows: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+    """SKETCH words of 64 bits by row: every shingle flips one bit.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    out = np.empty((n_rows, SKETCH), np.uint64)
+    bit = (tk.mix(h ^ _U(0x9FB21C651E98DF25)) & _U(64 * SKETCH - 1)).astype(np.int64)
+    for first in range(0, n_rows, 256):
+        a, b = np.searchsorted(rows, [first, first + 256])
+        n = min(256, n_rows - first)
+        odd = np.bincount((rows[a:b] - first) * (64 * SKETCH) + bit[a:b], minlength=n * 64 * SKETCH).astype(np.uint8) & 1
+        out[first : first + n] = np.packbits(odd.reshape(n, -1), axis=1).view(np.uint64)
+    return out
+
+
+_TOLD = ["node", "n", "text", *_WORDS]
+_TOLD_SQL = "node bigint, n bigint, text binary, " + ", ".join(f"{w} bigint" for w in _WORDS)
+
+
+def _told(batches):
+    """Of texts: the node, the size of its set, the text in compressed form and the sketch."""
+    for batch in batches:
+        for first, end, data, offsets in tk.slices(batch.column("text")):
+            rows, h, counts = shingle_sets(data, offsets)
+            words = parity_sketches(rows, h, end - first).view(np.int64)
+            raw = data.tobytes()
+            packed = [zlib.compress(raw[a:b], 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_nodes(h, counts)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), *(pa.array(c) for c in words.T)], names=_TOLD
+            )
+
+
+def _may_link(left: str, right: str) -> str:
+    """Whether two sets may be similar enough by their sizes and sketches."""
+    differ = " + ".join(f"bit_count({left}{w} ^ {right}{w})" for w in _WORDS)
+    return f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (n + n2)"
 
 
 def _unsettled(spots: DataFrame, roots: DataFrame) -> DataFrame:
@@ -309,13 +381,19 @@ def _neighbours(spots: DataFrame, turn: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, measured: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text for each wanted node, by the row that stands for the node."""
+    """Text, size and sketch of each wanted node, by the row that stands for the node.
+
+    Rows are sifted by number and text together, and each says itself what node it is, so texts are not
+    shuffled.  A few rows that were not wanted pass the sieve; they are texts of their nodes as well.
+    """
     ends = wanted.toDF("node").distinct()
+    number = F.xxhash64("_row", "th").alias("at")
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
-    bodies = rows.select(F.col("_body").alias("text"), "_row", "th")
-    stands = cut(stands, "stands")
-    texts = cut(maybe_in(bodies, stands).join(stands, ["_row", "th"]).select("node", "text"), "texts")
-    all_met(texts.count(), stands.count(), "texts of nodes")
+    stands = cut(stands.select("node", number), "stands")
+    near, shared = sifted_by(rows.select(F.col("_body").alias("text"), number), stands, "at")
+    texts = cut(near.select("text").mapInArrow(_told, _TOLD_SQL), "texts")
+    shared.destroy()
+    all_met(texts.select("node").join(stands, "node", "left_semi").distinct().count(), stands.count(), "texts of nodes")
     return texts
 
 
@@ -340,6 +418,7 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
         .groupBy("bucket").applyInArrow(lambda found: _paired(found, few), "kind int, x bigint, y bigint, z bigint"),
         "candidates",
     )
+    shared.destroy()
     nodes = cut(found.where("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "nodes")
     group_pairs = found.where("kind = 0").select(F.col("x").alias("g"), F.col("y").alias("g2")).distinct()
     crowded = cut(found.where("kind = 1").select(F.col("x").alias("t"), F.col("y").alias("g"), F.col("z").alias("n")).distinct(), "crowded")
@@ -355,16 +434,22 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
     )
     spots = cut(crowded.select("t", "g").join(nodes, "g").select("t", "node", "n"), "spots")
     texts = _texts(rows, measured, first.select("a").union(first.select("b")).union(spots.select("node")))
-    roots = cut(components(_verify(first, texts)), "roots")
+    sketches = cut(texts.drop("text").dropDuplicates(["node"]), "sketches")
+    # One pair of each node comes first: most others then lie inside a component.
+    either = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    leading = cut(_ordered(either.groupBy("a").agg(F.min("b").alias("b"))), "leading")
+    roots = cut(components(_verify(leading, texts, sketches)), "roots")
+    rest = cut(_joined(first.join(leading, ["a", "b"], "left_anti"), roots), "rest")
+    roots = _more(roots, _verify(rest, texts, sketches))
     # Crowded shingles: a few partners for each member, anew in each round, until nothing joins.
     tried = first
     for turn in range(ROUNDS):
         open_spots = cut(_unsettled(spots, roots), "open")
         pairs = cut(_neighbours(open_spots, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
-        more = cut(_verify(pairs, texts), "links")
+        more = _verify(pairs, texts, sketches)
         if more.isEmpty():
             break
-        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+        roots = _more(roots, more)
         tried = tried.union(pairs)
     # Whatever could still join different components, without exception.
     placed = cut(nodes.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
@@ -376,21 +461,19 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
         group_pairs.join(large.withColumnRenamed("g", "g2"), "g2", "left_semi").select("g", "g2")
     ).distinct().join(placed, "g").join(other, "g2")
     open_spots = cut(_unsettled(spots, roots), "open")
-    crossing = open_spots.join(
-        open_spots.select("t", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2")), "t"
-    ).where("node < node2")
+    open_spots = open_spots.join(sketches.drop("n"), "node")
+    renamed = {"node": "node2", "n": "n2", "root": "root2"} | {w: f"o{w}" for w in _WORDS}
+    crossing = open_spots.join(open_spots.withColumnsRenamed(renamed), "t").where(f"node < node2 and {APART} and {_may_link('', 'o')}")
     last = cut(
         _ordered(
             inside.where(APART).select(F.col("node").alias("a"), F.col("node2").alias("b"))
             .union(between.where(APART).select("node", "node2"))
-            .union(crossing.where(APART).select("node", "node2"))
+            .union(crossing.select("node", "node2"))
         ).join(tried, ["a", "b"], "left_anti"),
         "last",
     )
     if not last.isEmpty():
-        texts = _texts(rows, measured, last.select(F.col("a").alias("node")).union(last.select("b")))
-        more = _verify(last, texts)
-        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+        roots = _more(roots, _verify(last, texts, sketches))
     keys = cut(rows.select("_row", "th", "_key"), "keys")
     keyed = cut(keys.join(measured, ["_row", "th"]), "keyed")
     all_met(keyed.count(), measured.count(), "keys of documents")
@@ -414,11 +497,13 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, but of each component only the one with the least key (the first row on ties)."""
+    docs, names = shielded(docs, key, text)
     rows = numbered(docs, text)
     named = rows.select(F.col(key).alias("_key"), F.col(text).alias("_body"), "_row", "th")
     linked = cut(_linked(named, key).where("n_shingles > 0"), "linked")
     first = linked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "_row", "th")).alias("f")).select("f._row", "f.th")
-    return without(rows, docs.columns, cut(linked.join(first, ["_row", "th"], "left_anti").select("_row", "th"), "gone"))
+    gone = cut(linked.join(first, ["_row", "th"], "left_anti").select("_row", "th"), "gone")
+    return without(rows, docs.columns, gone).withColumnsRenamed(names)
 
 
 def op6_grouped_prefix(spark, sf_dir: str) -> DataFrame:
