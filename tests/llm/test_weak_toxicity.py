@@ -55,4 +55,4 @@ def test_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     got = op5_weak_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
     rate = {r["toxic"]: r["p"] for r in got.groupBy("toxic").agg({"predicted": "avg"}).toDF("toxic", "p").collect()}
-    assert rate[1] > 0.85 and rate[0] < 0.03
+    assert rate[1] > 0.9 and rate[0] < 0.03

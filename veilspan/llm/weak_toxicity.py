@@ -138,14 +138,15 @@ def label_model(v: np.ndarray, prior: np.ndarray, rounds: int = 25) -> np.ndarra
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 2e-4) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression on soft labels."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    scale = np.maximum(x.std(0), 0.05)
-    scale[-1] = 1
-    z = x / scale
-    w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    # The matrix is kept once, as it came: weights are scaled instead of its columns.
+    mean = x.mean(0, dtype=np.float64)
+    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(len(x), 1)
+    scale = np.append(np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 0.05), 1.0)
+    w, m, s = np.zeros(len(scale)), np.zeros(len(scale)), np.zeros(len(scale))
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        g = z.T @ (p - y) / len(y) + penalty * w
+        margin = x @ (w / scale)[:-1].astype(np.float32) + w[-1]
+        rest = 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -40, 40))) - y
+        g = np.append(rest.astype(np.float32) @ x, rest.sum()) / scale / len(y) + penalty * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w / scale
@@ -211,8 +212,13 @@ def train(rows: DataFrame) -> ToxicityModel:
                 )
 
     got = sample.mapInArrow(featured, "x binary, toxic bigint").toArrow()  # at most about MOST_ROWS rows
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1)
-    y = np.asarray(got.column("toxic").to_pylist(), float)
+    x = np.empty((got.num_rows, len(lexicon) + len(STYLE)), np.float32)
+    at = 0
+    for part in got.column("x").chunks:  # rows of equal length, end to end
+        x[at : at + len(part)] = np.frombuffer(part.buffers()[2], np.float32, len(part) * x.shape[1], 4 * part.offset * x.shape[1]).reshape(len(part), -1)
+        at += len(part)
+    y = got.column("toxic").to_numpy().astype(float)
+    del got
     parts = np.zeros((LEXICONS + 1, len(lexicon)))
     for k, h in enumerate(found.tolist()):
         parts[k % LEXICONS, np.searchsorted(lexicon, np.uint64(h))] = 1
