@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.llm import hash_tree, jaccard_join, mixing, weak_toxicity, winnowing
-from veilspan.llm.common import table
+from veilspan.llm.common import shielded, table
 from veilspan.llm.scratch import cut
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the classifier learns from the labels of these documents."""
+    docs, names = shielded(docs, "text", reserved=("toxicity",))
     scored = weak_toxicity.score(docs, weak_toxicity.trained_on(spark, sf_dir, docs))
-    return scored.where(scored["toxicity"] < weak_toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(scored["toxicity"] < weak_toxicity.THRESHOLD).select(*docs.columns).withColumnsRenamed(names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
