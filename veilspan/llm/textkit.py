@@ -1,7 +1,7 @@
 """Vectorised text work inside tasks: byte classes, words, hashes and n-grams with NumPy.
 
 All functions look at UTF-8 bytes of a slice of rows laid end to end; nothing ever
-crosses the end of a row.  Slices are about a megabyte, so memory stays small
+crosses the end of a row.  Slices are about half a megabyte, so memory stays small
 whatever the batch size, and one longer text is a slice of its own.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -41,6 +41,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, row + 1), len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task without what this one needed
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
