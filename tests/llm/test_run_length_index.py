@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from helpers import docs_frame
 
+from veilspan.llm import run_length_index
 from veilspan.llm.run_length_index import long_matches, remove_repeats, run_samples, suffix_array
+from veilspan.llm.scratch import cut
 
 WIDTH, ANCHOR = 24, 6
 
@@ -57,6 +59,26 @@ def test_spans_give_the_removed_bytes(spark):
     assert [tuple(s) for s in got[1]["cut"]] == [(5, 35)] and [tuple(s) for s in got[2]["cut"]] == [(0, 30)] and got[3]["cut"] == []
 
 
+def test_marks_do_not_grow_with_windows_or_copies(spark, monkeypatch):
+    """A crowded passage: neighbouring windows are one mark, and copies of a piece do not meet its runs."""
+    rng = random.Random(8)
+    passage, shared = soup(rng, 300), soup(rng, 80)
+    rows = [(k, soup(rng, 40) + passage + soup(rng, 40)) for k in range(20)]
+    rows += [(100 + k, soup(rng, 40) + "|" + shared + passage + soup(rng, 40)) for k in range(20)]
+    kept = {}
+
+    def kept_cut(df, name):
+        kept[name] = cut(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(run_length_index, "cut", kept_cut)
+    got = remove_repeats(docs_frame(spark, rows), width=WIDTH, anchor=ANCHOR, few=2).drop("cut")
+    assert Counter(tuple(r) for r in got.collect()) == brute(rows)
+    pieces, contents = kept["pieces"].count(), kept["contents"].count()
+    assert sum(len(r["spans"]) for r in kept["spans"].collect()) <= pieces
+    assert kept["runs"].count() <= contents
+
+
 def test_empty_table(spark):
     assert remove_repeats(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
 
