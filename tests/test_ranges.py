@@ -173,6 +173,17 @@ def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
     assert whole == {"long.csv": {"email": 6000}, "long.json": {"email": 6000}, "long.txt": {"email": 1}}
 
 
+def test_long_csv_is_read_in_short_pieces(spark, tmp_path):
+    """Marks of all quotes and line ends of a piece are in memory at once, so a piece is short whatever the splits."""
+    record = 'x,"a ""b"",\nc",' + "y" * 80 + "\n"
+    (tmp_path / "long.csv").write_text(record * 200_000)
+    files = list_files(spark, str(tmp_path)).selectExpr("path", "size", "mtime", f"{family('path')} as family")
+    found = pieces(files).selectExpr("max(end - begin) as longest", "sum(end - begin) as total").first()
+    assert found["longest"] < 9 << 20 and found["total"] == len(record) * 200_000
+    texts = csv_rows(spark, str(tmp_path)).groupBy("text").count().collect()
+    assert [tuple(r) for r in texts] == [('x a "b",\nc ' + "y" * 80, 200_000)]
+
+
 def test_split_bytes(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:

@@ -29,6 +29,8 @@ from veilspan.sources.store import OTHERS_MAY_WORK, read_range
 
 #: Families that are read in pieces; the others are one value a file, or are split by their own format.
 CUT = ("text", "csv", "json")
+#: CSV ranges are no longer than this, whatever the splits: marks of every quote and line end are kept in memory.
+CSV_BYTES = 8 << 20
 _CONTEXT = 64
 _BLANK = 1 << 16  # blanks after the end of an array
 # Marks that stand in no pattern and are not letters, digits or underscores, and a blank between two
@@ -305,7 +307,8 @@ def pieces(files: DataFrame, width: int | None = None) -> DataFrame:
     """
     spark = files.sparkSession
     width = width or split_bytes(spark)
-    cuttable = f"family in ({', '.join(map(repr, CUT))}) and size > {width}"
+    step = f"if(family = 'csv', {min(width, CSV_BYTES)}L, {width}L)"
+    cuttable = f"family in ({', '.join(map(repr, CUT))}) and size > {step}"
     short = files.where(f"not ({cuttable})").selectExpr(
         "path", "size", "mtime", "family", "0L as begin", "size as end", "cast(null as string) as encoding", "0L as before", "false as inside", "cast(null as string) as error"
     )
@@ -314,8 +317,8 @@ def pieces(files: DataFrame, width: int | None = None) -> DataFrame:
     if not n:
         return short
     ranges = long.selectExpr(
-        "path", "size", "mtime", "family", f"posexplode(sequence(0L, size - 1, {width}L)) as (k, begin)"
-    ).selectExpr("path", "size", "mtime", "family", "k", "begin", f"least(begin + {width}, size) as end")
+        "path", "size", "mtime", "family", f"posexplode(sequence(0L, size - 1, {step})) as (k, begin)"
+    ).selectExpr("path", "size", "mtime", "family", "k", "begin", f"least(begin + {step}, size) as end")
     kept = "path string, size bigint, mtime timestamp_ntz, family string, k int, begin bigint, end bigint"
     told = dealt(ranges, n).mapInArrow(_tell, f"{kept}, {TOLD}, error string")
     return short.unionByName(_settled(told).select(*_PIECE))
