@@ -52,6 +52,22 @@ def test_names_are_not_shuffled(spark, reports):
         assert plan.count("Bucketed: true") == 2 or "SelectedBucketsCount: 8 out of 8" in plan
 
 
+def test_a_sample_evaluates_each_report_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def report(low, high):
+        return spark.range(low, high, 1, 2).selectExpr("nullif(concat('f', lpad(id, 3, '0')), 'f000') as name").mapInArrow(counted, "name string")
+
+    got = [tuple(r) for r in compare.diff_sample(report(0, 60), report(40, 90), 3).collect()]
+    assert got == [("left", None), ("left", "f001"), ("left", "f002"), ("right", "f060"), ("right", "f061"), ("right", "f062")]
+    assert seen.value == 60 + 50
+
+
 def test_empty_reports(spark):
     empty = spark.createDataFrame([], "name string, seq int")
     store_report(empty, "stored_empty", buckets=8)

@@ -59,10 +59,13 @@ def _counts(flags: DataFrame) -> DataFrame:
 
 
 def _sample(flags: DataFrame, n: int, key: str) -> DataFrame:
+    # Both sides look at both flags: their aggregates are then equal, and the reports are scanned for one of them only.
+    one_sided = flags.where("in_left <> in_right")
+
     def side(label: str, names: DataFrame) -> DataFrame:
         return names.select(F.lit(label).alias("side"), key).orderBy(key).limit(n)
 
-    return side("left", _in_left_only(flags, key)).unionByName(side("right", _in_right_only(flags, key)))
+    return side("left", _in_left_only(one_sided, key)).unionByName(side("right", _in_right_only(one_sided, key)))
 
 
 def common(left: DataFrame, right: DataFrame, key: str = "name") -> DataFrame:
