@@ -10,9 +10,11 @@ import pyarrow as pa
 import pytest
 from helpers import docs_frame, word_soup
 
+from veilspan.llm import common, jaccard_join
 from veilspan.llm import textkit as tk
 from veilspan.llm.components import components
 from veilspan.llm.jaccard_join import keep_one, link_documents, shingle_sets
+from veilspan.llm.scratch import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,6 +78,35 @@ def test_one_of_each_class_stays(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "root"]
 
 
+def test_small_inputs_ask_little_of_the_driver(spark, monkeypatch):
+    """Bitmaps follow the number of values sought, and crowded shingles of one share have one round."""
+    tables, sought = [], []
+
+    def kept_cut(df, name):
+        tables.append(name)
+        return cut(df, name)
+
+    def kept_bitmap(*args):
+        sought.append(common_bitmap(*args))
+        return sought[-1]
+
+    common_bitmap = common.bitmap
+    monkeypatch.setattr(jaccard_join, "cut", kept_cut)
+    monkeypatch.setattr(common, "bitmap", kept_bitmap)  # the one that sieves use
+    rows = cases()
+    kept = keep_one(docs_frame(spark, rows)).count()
+    assert kept == len({c for k, n, c in brute(rows) if n and c is not None} | {k for k, n, _ in brute(rows) if not n})
+    assert sought and sum(b.nbytes for b in sought) < 1 << 20
+    assert tables.count("neighbours") == 1 and tables.count("open") <= 2
+
+
+def test_two_rounds_for_shingles_of_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHARE", 4)
+    rows = cases()
+    got = link_documents(docs_frame(spark, rows), few=2).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert link_documents(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
 

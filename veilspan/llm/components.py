@@ -26,7 +26,7 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
             least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         )
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -44,6 +44,6 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = cut(edges, "edges")
     while not _settled(edges):
-        edges = cut(_stars(_stars(edges, True), False), "edges")
+        edges = cut(_stars(_stars(edges, True), False).distinct(), "edges")
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b"))

@@ -9,8 +9,9 @@ all documents; here shingles seen often come last, so prefixes are selective.
    than FEW groups is crowded and not expanded.
 3. The leaders of paired groups and the members of a group are verified on their texts, which
    gives first components.
-4. In some rounds each member of a crowded shingle is verified with a few others of other
-   components, which joins the members of a large group of copies with few pairs.
+4. In a round, or two where a shingle is cut into shares, each member of a crowded shingle is
+   verified with a few others of other components, which joins the members of a large group of
+   copies with few pairs.
 5. Every remaining candidate pair, be it of a crowded shingle or of members of groups, whose ends
    still lie in different components is verified; pairs inside one component cannot change it.
    Members of a crowded shingle meet only if their sizes and sketches allow the similarity: a
@@ -298,8 +299,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFram
     """
     one, two = (sketches.withColumnsRenamed({"node": x, "n": n} | {w: f"{x}{w}" for w in _WORDS}) for x, n in (("a", "n"), ("b", "n2")))
     possible = cut(pairs.join(one, "a").join(two, "b").where(_may_link("a", "b")).select("a", "b"), "possible")
-    ends = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    near, shared = sifted_by(texts, ends, "node")
+    n_possible = possible.count()
+    if not n_possible:
+        return possible
+    ends = possible.select(F.col("a").alias("node")).union(possible.select("b"))
+    near, shared = sifted_by(texts, ends, "node", 2 * n_possible)
     b = near.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     a = near.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     met = possible.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
@@ -359,19 +363,19 @@ def _may_link(left: str, right: str) -> str:
 
 
 def _unsettled(spots: DataFrame, roots: DataFrame) -> DataFrame:
-    """(t, node, n, root) of the crowded shingles whose nodes lie in different components."""
+    """(t, node, n, root, shares) of the crowded shingles whose nodes lie in different components.
+
+    A large shingle is later cut into shares of about SHARE nodes, so no task gets it whole.
+    """
     placed = spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = placed.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
-    return placed.join(ends, "t").select("t", "node", "n", "root")
+    shares = F.ceil(F.count("*") / SHARE).alias("shares")
+    ends = placed.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), shares).where("r1 <> r2").select("t", "shares")
+    return placed.join(ends, "t").select("t", "node", "n", "root", "shares")
 
 
 def _neighbours(spots: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each node with the PARTNERS next ones of its shingle, in an order of this turn.
-
-    A large shingle is first cut into shares of about SHARE nodes, so no task gets it whole.
-    """
-    shares = spots.groupBy("t").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    salted = spots.join(shares, "t").withColumn("share", F.pmod(F.xxhash64("node", F.lit(turn)), "shares"))
+    """Pairs of each node with the PARTNERS next ones of its share of the shingle, in an order of this turn."""
+    salted = spots.withColumn("share", F.pmod(F.xxhash64("node", F.lit(turn)), "shares"))
     order = Window.partitionBy("t", "share").orderBy(F.xxhash64(F.lit(turn), "node"))
     one = F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     after = [f"p{k}" for k in range(1, PARTNERS + 1)]
@@ -390,10 +394,11 @@ def _texts(rows: DataFrame, measured: DataFrame, wanted: DataFrame) -> DataFrame
     number = F.xxhash64("_row", "th").alias("at")
     stands = measured.groupBy("node").agg(F.min(F.struct("th", "_row")).alias("s")).select("node", "s.*").join(ends, "node")
     stands = cut(stands.select("node", number), "stands")
-    near, shared = sifted_by(rows.select(F.col("_body").alias("text"), number), stands, "at")
+    asked = stands.count()
+    near, shared = sifted_by(rows.select(F.col("_body").alias("text"), number), stands, "at", asked)
     texts = cut(near.select("text").mapInArrow(_told, _TOLD_SQL), "texts")
     shared.destroy()
-    all_met(texts.select("node").join(stands, "node", "left_semi").distinct().count(), stands.count(), "texts of nodes")
+    all_met(texts.select("node").join(stands, "node", "left_semi").distinct().count(), asked, "texts of nodes")
     return texts
 
 
@@ -441,16 +446,19 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
     roots = cut(components(_verify(leading, texts, sketches)), "roots")
     rest = cut(_joined(first.join(leading, ["a", "b"], "left_anti"), roots), "rest")
     roots = _more(roots, _verify(rest, texts, sketches))
-    # Crowded shingles: a few partners for each member, anew in each round, until nothing joins.
+    # Crowded shingles: a few partners for each member, until nothing joins; anew where a shingle has several shares.
     tried = first
+    open_spots = cut(_unsettled(spots, roots), "open")
     for turn in range(ROUNDS):
-        open_spots = cut(_unsettled(spots, roots), "open")
+        if turn and open_spots.where("shares > 1").isEmpty():
+            break
         pairs = cut(_neighbours(open_spots, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
         more = _verify(pairs, texts, sketches)
         if more.isEmpty():
             break
         roots = _more(roots, more)
         tried = tried.union(pairs)
+        open_spots = cut(_unsettled(spots, roots), "open")
     # Whatever could still join different components, without exception.
     placed = cut(nodes.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
     other = placed.toDF("g2", "n2", "node2", "root2")
@@ -460,8 +468,7 @@ def _linked(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
     between = group_pairs.join(large, "g", "left_semi").union(
         group_pairs.join(large.withColumnRenamed("g", "g2"), "g2", "left_semi").select("g", "g2")
     ).distinct().join(placed, "g").join(other, "g2")
-    open_spots = cut(_unsettled(spots, roots), "open")
-    open_spots = open_spots.join(sketches.drop("n"), "node")
+    open_spots = open_spots.drop("shares").join(sketches.drop("n"), "node")
     renamed = {"node": "node2", "n": "n2", "root": "root2"} | {w: f"o{w}" for w in _WORDS}
     crossing = open_spots.join(open_spots.withColumnsRenamed(renamed), "t").where(f"node < node2 and {APART} and {_may_link('', 'o')}")
     last = cut(
